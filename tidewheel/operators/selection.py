@@ -36,13 +36,13 @@ def _part(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(v <= lo, -1).when(v >= hi, PARTS).when(unbounded, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), inner))).cast("int")
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns], F.lit(True))
-
-
-def _hint(df: DataFrame) -> DataFrame:
-    """Broadcast when counted small, else leave the join to Catalyst and its skew handling."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def null_safe_join(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner", hint: bool = False) -> DataFrame:
+    """Join on ``columns``, nulls matching nulls; the columns come from ``a``, all others of both sides are kept. ``hint``: broadcast ``b`` if counted small."""
+    small = hint and b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    right = b.select(*(F.col(f"`{c}`").alias(f"{c}__r") if c in columns else F.col(f"`{c}`") for c in b.columns))
+    on = reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}__r`")) for c in columns], F.lit(True))
+    right = F.broadcast(right) if small else right
+    return a.join(right, on, how).drop(*(f"{c}__r" for c in columns))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -80,21 +80,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     while True:
         w = Window.partitionBy(*names, "__before").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         starts = bins.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-        hit = starts.join(asked, _same(starts, asked, [*names, "__before"]))
-        hit = hit.where((asked["__rank"] >= starts["__start"]) & (asked["__rank"] < starts["__start"] + starts["__c"]))
-        hit = checkpoint(hit.select(*(starts[n] for n in names), starts["__before"], "__part", "__start", "__lo", "__hi", "__rank"))
+        hit = null_safe_join(starts, asked, [*names, "__before"]).where("__rank >= __start and __rank < __start + __c")
+        hit = checkpoint(hit.select(*names, "__before", "__part", "__start", "__lo", "__hi", "__rank"))
         done.append(hit.where("__lo = __hi").select(*names, "__rank", F.col("__lo").alias("__x")))
         open_ = hit.where("__lo < __hi")
         if not open_.limit(1).count():
             break
-        inside = _hint(open_.select(*names, "__before", "__part", "__start", "__lo", "__hi").distinct())
-        kept = active.join(inside, _same(active, inside, [*names, "__before", "__part"]))
-        kept = kept.select(*(active[n] for n in names), "__v", F.col("__start").alias("__before"), _part(F.col("__v"), F.col("__lo"), F.col("__hi")).alias("__part"))
-        active = checkpoint(kept)
+        inside = open_.select(*names, "__before", "__part", "__start", "__lo", "__hi").distinct()
+        kept = null_safe_join(active, inside, [*names, "__before", "__part"], hint=True)
+        part = _part(F.col("__v"), F.col("__lo"), F.col("__hi")).alias("__part")
+        active = checkpoint(kept.select(*names, "__v", F.col("__start").alias("__before"), part))
         bins = active.groupBy(*names, "__before", "__part").agg(*tally)
         asked = open_.select(*names, "__rank", F.col("__start").alias("__before"))
     values = reduce(DataFrame.unionByName, done).groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__at"))
-    out = totals.join(values, _same(totals, values, names), "left").select(*(totals[n].alias(n) for n in names), "n_rows", "n_values", "__at")
+    out = null_safe_join(totals, values, names, "left")
 
     def quantile(p: float) -> Column:
         at = F.lit(p) * (F.col("n_values") - 1)

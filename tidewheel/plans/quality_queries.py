@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators.implausible import flag_implausible, impossible
+from tidewheel.operators.regular_grid import regular_grid
+from tidewheel.operators.selection import skew_safe_summary
 from tidewheel.session import epoch_micros, join_dimension, table
 
 
@@ -27,6 +29,53 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return p1_flags(spark, sf).where("exact").select("sample_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags}
+def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
+    samples = table(spark, sf, "samples")
+    rows = samples.select("sample_id", "series_id", epoch_micros(samples, "timestamp").alias("ts"), "value").where("ts is not null and value is not null and not isnan(value)")
+    rows = join_dimension(rows, table(spark, sf, "series").select("series_id", "step_s"), ["series_id"])
+    return regular_grid(rows, "series_id", "ts", "value", "sample_id", "step_s")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_grid(spark, sf).where("filled").select("series_id", "slot_start")
+
+
+def keyed_samples(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.coalesce(F.col("__name__"), F.try_element_at("tags", F.lit("__name__")))
+    return table(spark, sf, "samples").select(name.alias("metric_name"), F.try_element_at("tags", F.lit("service")).alias("service"), "value")
+
+
+def p4_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Count, share and exact quantiles of every (metric, service) key; the heavy keys are marked."""
+    got = skew_safe_summary(keyed_samples(spark, sf), ["metric_name", "service"], "value", [0.5, 0.9, 0.99], hot_share=0.03)
+    q = F.col("quantiles")
+    return got.select("metric_name", "service", "n_rows", "n_values", *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "is_hot")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_summary(spark, sf).where("is_hot").select("metric_name", "service")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p1_flags": p1_flags, "p3_grid": p3_grid, "p4_summary": p4_summary}
+
+#: what "reading" means, for the SQL of problems 1, 3 and 4
+_READING = "\"timestamp\" IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": f"""
+        WITH r AS (SELECT series_id, step_s, epoch_us("timestamp") // (step_s * 1000000) AS slot
+                   FROM samples JOIN series USING (series_id) WHERE {_READING}),
+             d AS (SELECT DISTINCT series_id, CAST(step_s AS BIGINT) AS step_s, CAST(slot AS BIGINT) AS slot FROM r),
+             n AS (SELECT series_id, step_s, slot, lead(slot) OVER (PARTITION BY series_id ORDER BY slot) AS next FROM d)
+        SELECT series_id, unnest(range(slot + 1, next)) * step_s AS slot_start FROM n WHERE next > slot + 1""",
+    "p4_found": """
+        WITH k AS (SELECT coalesce(__name__, tags['__name__']) AS metric_name, tags['service'] AS service FROM samples)
+        SELECT metric_name, service FROM k WHERE metric_name IS NOT NULL AND service IS NOT NULL
+        GROUP BY ALL HAVING count(*) >= 0.03 * (SELECT count(*) FROM samples)""",
+    "p4_summary": """
+        WITH k AS (SELECT coalesce(__name__, tags['__name__']) AS metric_name, tags['service'] AS service,
+                          CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM samples)
+        SELECT metric_name, service, count(*) AS n_rows, count(v) AS n_values, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90,
+               round(quantile_cont(v, 0.99), 4) AS p99, count(*) >= 0.03 * (SELECT count(*) FROM samples) AS is_hot
+        FROM k WHERE metric_name IS NOT NULL AND service IS NOT NULL GROUP BY ALL""",
+}
