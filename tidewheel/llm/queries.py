@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.llm.bitmaps import build_bitmaps, estimate_distinct, merge_bitmaps
+from tidewheel.llm.dyadic import build_sketches, merge_sketches, sketch_quantiles
 from tidewheel.llm.leaks import find_leaks
+from tidewheel.llm.mixing import mix_sources, mixing_report
 from tidewheel.llm.same_reading import consistent_texts, reading_classes, same_reading_pairs
 from tidewheel.session import table
 
@@ -31,6 +34,94 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
     return reading_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p6_found": p6_found, "p8_found": p8_found, "p6_leaks": p6_leaks, "p8_forms": p8_forms, "p8_classes": p8_classes}
+def _long_tags(df: DataFrame, tags: list[str], *keep: str) -> DataFrame:
+    """A row per tag of interest, and one for the whole (tag and tag_value null)."""
+    pairs = [F.struct(F.lit(t).alias("tag"), F.try_element_at("tags", F.lit(t)).alias("tag_value")) for t in tags]
+    whole = F.struct(F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("tag_value"))
+    return df.select(*keep, F.inline(F.array(*pairs, whole)))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    q = F.col("quantiles")
+    return df.select("*", q[0].alias("p50"), q[1].alias("p90"), q[2].alias("p99")).drop("quantiles")
+
+
+PROBS = [0.5, 0.9, 0.99]
+
+
+def sample_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.coalesce(F.col("__name__"), F.try_element_at("tags", F.lit("__name__"))).alias("metric_name")
+    rows = _long_tags(table(spark, sf, "samples").select(name, "tags", "value"), ["service", "region", "env"], "metric_name", "value")
+    return build_sketches(rows, ["metric_name", "tag", "tag_value"], "value")
+
+
+def p2_sample_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Median and high percentiles of samples per metric name and tag, with the error stated."""
+    keys = ["metric_name", "tag", "tag_value"]
+    return _spread(sketch_quantiles(merge_sketches(sample_sketches(spark, sf), keys), keys, PROBS))
+
+
+def day_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "unaggregated")
+    name = F.coalesce(F.col("__name__"), F.split_part("id", F.lit("+"), F.lit(1))).alias("metric_name")
+    values = F.when(F.col("type") == "timer", F.col("batch_timer")).when(F.col("type") == "gauge", F.array("gauge_val")).when(F.col("type") == "counter", F.array(F.col("counter_val").cast("double")))
+    rows = t.select(name, "type", F.to_date("timestamp").cast("string").alias("day"), "tags", F.explode(values).alias("value"))
+    rows = _long_tags(rows, ["app", "region"], "metric_name", "type", "day", "value")
+    return build_sketches(rows, ["metric_name", "type", "day", "tag", "tag_value"], "value")
+
+
+def p2_day_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of timers, gauges and counters per name, tag and day."""
+    keys = ["metric_name", "type", "day", "tag", "tag_value"]
+    return _spread(sketch_quantiles(merge_sketches(day_sketches(spark, sf), keys), keys, PROBS))
+
+
+def p2_week_from_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The days' sketches added up to the whole week, per name and tag."""
+    days = merge_sketches(day_sketches(spark, sf), ["metric_name", "type", "day", "tag", "tag_value"])
+    keys = ["metric_name", "type", "tag", "tag_value"]
+    return _spread(sketch_quantiles(merge_sketches(days, keys), keys, PROBS))
+
+
+def _or_none(tag: str) -> Column:
+    return F.coalesce(F.try_element_at("tags", F.lit(tag)), F.lit("(none)"))
+
+
+def p5_client_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct clients per day, name, region, app and every combination of them; null means all, "summed" tells over which."""
+    t = table(spark, sf, "unaggregated")
+    name = F.coalesce(F.col("__name__"), F.split_part("id", F.lit("+"), F.lit(1)))
+    rows = t.select(F.coalesce(F.to_date("timestamp").cast("string"), F.lit("(none)")).alias("day"), name.alias("metric_name"), _or_none("region").alias("region"), _or_none("app").alias("app"), F.try_element_at("tags", F.lit("client")).alias("client"))
+    keys = ["day", "metric_name", "region", "app"]
+    return estimate_distinct(merge_bitmaps(build_bitmaps(rows, keys, "client"), keys, combinations=True))
+
+
+def p5_instance_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct instances of samples per day, name and region and every combination."""
+    t = table(spark, sf, "samples")
+    name = F.coalesce(F.col("__name__"), F.try_element_at("tags", F.lit("__name__")), F.lit("(none)"))
+    rows = t.select(F.coalesce(F.to_date("timestamp").cast("string"), F.lit("(none)")).alias("day"), name.alias("metric_name"), _or_none("region").alias("region"), F.try_element_at("tags", F.lit("instance")).alias("instance"))
+    keys = ["day", "metric_name", "region"]
+    return estimate_distinct(merge_bitmaps(build_bitmaps(rows, keys, "instance"), keys, combinations=True))
+
+
+#: Where the public vocabulary files lie; a parameter of the deployment.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is used so that every source has its target share of the tokens."""
+    return mix_sources(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_targets"), TOKENIZER)
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares."""
+    return mixing_report(p7_mixture(spark, sf), "source", table(spark, sf, "mix_targets"))
+
+
+QUERIES = {
+    "p2_sample_percentiles": p2_sample_percentiles, "p2_day_percentiles": p2_day_percentiles, "p2_week_from_days": p2_week_from_days, "p5_client_counts": p5_client_counts, "p5_instance_counts": p5_instance_counts,
+    "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes,
+}
 
 SQL: dict[str, str] = {}
