@@ -105,6 +105,12 @@ def p5_instance_counts(spark: SparkSession, sf: str) -> DataFrame:
     return estimate_distinct(merge_bitmaps(build_bitmaps(rows, keys, "instance"), keys, combinations=True))
 
 
+def p5_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Both: distinct clients of unaggregated and distinct instances of samples, per day, name, region, app and every combination."""
+    clients, instances = p5_client_counts(spark, sf), p5_instance_counts(spark, sf)
+    return clients.select(F.lit("client").alias("counted"), "*").unionByName(instances.select(F.lit("instance").alias("counted"), "*"), allowMissingColumns=True)
+
+
 #: Where the public vocabulary files lie; a parameter of the deployment.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -120,7 +126,7 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_sample_percentiles": p2_sample_percentiles, "p2_day_percentiles": p2_day_percentiles, "p2_week_from_days": p2_week_from_days, "p5_client_counts": p5_client_counts, "p5_instance_counts": p5_instance_counts,
+    "p2_sample_percentiles": p2_sample_percentiles, "p2_day_percentiles": p2_day_percentiles, "p2_week_from_days": p2_week_from_days, "p5_distinct_counts": p5_distinct_counts, "p5_client_counts": p5_client_counts, "p5_instance_counts": p5_instance_counts,
     "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes,
 }
 
