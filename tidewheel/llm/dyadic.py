@@ -27,8 +27,10 @@ DEPTH = 5
 WIDTH = 256
 LEVELS = BITS - EXACT
 CELLS = LEVELS * DEPTH * WIDTH
-#: Sketches that a task holds at once (40 kB each); beyond it the task sends what it has and goes on.
-HELD = 1024
+#: Different codes up to which a sketch keeps its updates as they are.
+SPARSE = 2048
+#: Different (key, code) pairs that a task holds at once (16 bytes each); beyond it the task sends what it has and goes on.
+HELD = 1 << 21
 #: Largest error of a value as a share of it.
 VALUE_ERROR = 2.0 ** -(BITS - 11)
 _rng = np.random.default_rng(20240506)
@@ -60,48 +62,95 @@ def _places(prefix: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.nd
     return (h & np.uint64(WIDTH - 1)).astype(np.int64), np.where(h & np.uint64(1 << 20), 1, -1)
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order with their counts added up, without those that cancel out."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, counts)
+    return distinct[total != 0], total[total != 0]
+
+
+def _none() -> np.ndarray:
+    return np.empty(0, np.int64)
+
+
 class Sketch:
-    """A group's sketch: n, exact prefix counts and signed counters."""
+    """A group's sketch: n, exact counts of short prefixes and signed counters.
 
-    def __init__(self) -> None:
-        self.n = 0
-        self.top: dict[int, int] = {}
-        self.cells = np.zeros(CELLS, np.int64)
+    While a group has at most ``SPARSE`` different codes its updates are kept as they are (codes, weights), which is smaller than the counters they would
+    fill and exact; they enter the counters when there are more. Both forms merge with each other.
+    """
+
+    def __init__(self, codes: np.ndarray | None = None, weights: np.ndarray | None = None) -> None:
+        self.codes, self.weights = (_none(), _none()) if codes is None else (codes, weights)
+        self.n = int(self.weights.sum())
+        self.top, self.top_counts = _none(), _none()
+        self.cells: np.ndarray | None = None
+        if len(self.codes) > SPARSE:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Updates enter the counters."""
+        if self.cells is None:
+            self.cells = np.zeros(CELLS, np.int64)
+        codes, weights = self.codes, self.weights
+        self.top, self.top_counts = _summed(np.concatenate([self.top, codes >> LEVELS]), np.concatenate([self.top_counts, weights]))
+        for level in range(LEVELS):
+            prefix = codes >> (LEVELS - 1 - level)
+            for row in range(DEPTH):
+                place, sign = _places(prefix, level, row)
+                np.add.at(self.cells, (level * DEPTH + row) * WIDTH + place, sign * weights)
+        self.codes, self.weights = _none(), _none()
 
     def add(self, other: Sketch, sign: int = 1) -> None:
         self.n += sign * other.n
-        for k, c in other.top.items():
-            self.top[k] = self.top.get(k, 0) + sign * c
-        self.cells += sign * other.cells
+        if len(other.codes):
+            self.codes, self.weights = _summed(np.concatenate([self.codes, other.codes]), np.concatenate([self.weights, sign * other.weights]))
+        if other.cells is not None:
+            if self.cells is None:
+                self.cells = np.zeros(CELLS, np.int64)
+            self.cells += sign * other.cells
+            self.top, self.top_counts = _summed(np.concatenate([self.top, other.top]), np.concatenate([self.top_counts, sign * other.top_counts]))
+        if len(self.codes) > SPARSE or self.cells is not None and len(self.codes):
+            self._settle()
 
     def pack(self) -> bytes:
-        top = sorted((k, c) for k, c in self.top.items() if c)
-        wide = np.int64 if np.abs(self.cells).max(initial=0) > 2**31 - 1 else np.int32
-        head = np.array([self.n, len(top), np.dtype(wide).itemsize], np.int64).tobytes()
-        return zlib.compress(head + np.array(top, np.int64).tobytes() + self.cells.astype(wide).tobytes(), 1)
+        keys, counts = (self.codes, self.weights) if self.cells is None else (self.top, self.top_counts)
+        cells = _none() if self.cells is None else self.cells
+        wide = np.dtype(np.int64 if max(np.abs(counts).max(initial=0), np.abs(cells).max(initial=0)) > 2**31 - 1 else np.int32)
+        head = np.array([self.n, len(keys), wide.itemsize, self.cells is not None], np.int64).tobytes()
+        return zlib.compress(head + np.diff(keys, prepend=0).astype(np.int32).tobytes() + counts.astype(wide).tobytes() + cells.astype(wide).tobytes(), 1)
 
     @staticmethod
     def unpack(packed: bytes) -> Sketch:
         data = zlib.decompress(packed)
         s = Sketch()
-        n, tops, wide = np.frombuffer(data, np.int64, 3)
-        s.n = int(n)
-        s.top = dict(np.frombuffer(data, np.int64, 2 * int(tops), 24).reshape(-1, 2).tolist())
-        s.cells = np.frombuffer(data, np.int32 if wide == 4 else np.int64, CELLS, 24 + 16 * int(tops)).astype(np.int64)
+        n, size, width, dense = np.frombuffer(data, np.int64, 4).tolist()
+        wide = np.int32 if width == 4 else np.int64
+        keys = np.cumsum(np.frombuffer(data, np.int32, size, 32).astype(np.int64))
+        counts = np.frombuffer(data, wide, size, 32 + 4 * size).astype(np.int64)
+        s.n = n
+        if dense:
+            s.top, s.top_counts, s.cells = keys, counts, np.frombuffer(data, wide, CELLS, 32 + (4 + width) * size).astype(np.int64)
+        else:
+            s.codes, s.weights = keys, counts
         return s
 
     def quantiles(self, probs: list[float]) -> tuple[list[float | None], float]:
         """Values at the ranks of ``probs`` and the stated rank error; nulls for an empty sketch."""
         if self.n <= 0:
             return [None] * len(probs), 0.0
-        keys = np.array(sorted(k for k, c in self.top.items() if c > 0), np.int64)
-        ends = np.cumsum([self.top[int(k)] for k in keys])
+        if self.cells is None:
+            ends = np.cumsum(self.weights)
+            at = [min(int(np.searchsorted(ends, p * (self.n - 1), side="right")), len(ends) - 1) for p in probs]
+            return decode(self.codes[at]).tolist(), 0.0
+        keys, ends = self.top, np.cumsum(self.top_counts)
         grid = self.cells.reshape(LEVELS, DEPTH, WIDTH)
         found = []
         for p in probs:
             rank = p * (self.n - 1)
             i = min(int(np.searchsorted(ends, rank, side="right")), len(keys) - 1)
-            node, here = int(keys[i]), float(self.top[int(keys[i])])
+            node, here = int(keys[i]), float(self.top_counts[i])
             rank -= ends[i] - here
             for level in range(LEVELS):
                 left = np.array([node << 1])
@@ -119,7 +168,7 @@ class Sketch:
                 rank = min(rank, max(here, 0.0))
             found.append(float(decode(np.array([node]))[0]))
         moments = np.median((grid.astype(float) ** 2).sum(axis=2), axis=1)
-        heaviest = max(self.top.values()) / self.n if self.top else 0
+        heaviest = self.top_counts.max() / self.n  # the descent never leaves the exact prefix
         # the median of 2*DEPTH estimates has about 1.25/sqrt(2*DEPTH) of one estimate's deviation
         return found, float(min(heaviest, 2 * np.sqrt((moments / WIDTH).sum()) * 1.25 / np.sqrt(2 * DEPTH) / self.n))
 
@@ -137,25 +186,29 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, weight: str | Non
     rows = df.select(*(F.col(f"`{k}`").cast("string").alias(n) for k, n in zip(keys, names)), v.alias("v"), w.alias("w")).where("v is not null and not isnan(v) and w != 0")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-        tops: list[dict[int, int]] = []
-        cells = np.zeros((64, CELLS), np.int64)
-        n = np.zeros(64, np.int64)
+        group_of: dict[tuple, int] = {}
+        pairs, weights, waiting = _none(), _none(), []
+
+        def settle() -> None:
+            nonlocal pairs, weights
+            pairs, weights = _summed(np.concatenate([pairs, *(p for p, _ in waiting)]), np.concatenate([weights, *(w for _, w in waiting)]))
+            waiting.clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            order = list(held)
-            for a in range(0, len(order), 256):
+            nonlocal pairs, weights
+            key_of = list(group_of)
+            groups, start = np.unique(pairs >> BITS, return_index=True)
+            ends = np.r_[start[1:], len(pairs)]
+            codes = pairs & ((1 << BITS) - 1)
+            for a in range(0, len(groups), 256):
                 packed = []
-                for k in order[a : a + 256]:
-                    s = Sketch()
-                    s.n, s.top, s.cells = int(n[held[k]]), tops[held[k]], cells[held[k]]
-                    packed.append((*k, s.n, s.pack()))
+                for g, i, j in zip(groups[a : a + 256].tolist(), start[a : a + 256], ends[a : a + 256]):
+                    s = Sketch(codes[i:j], weights[i:j])
+                    packed.append((*key_of[g], s.n, s.pack()))
                 c = list(zip(*packed))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:-2]] + [pa.array(c[-2], pa.int64()), pa.array(c[-1], pa.binary())], [*names, "n", "sketch"])
-            held.clear()
-            tops.clear()
-            cells[:] = 0
-            n[:] = 0
+            group_of.clear()
+            pairs, weights = _none(), _none()
 
         for b in batches:
             if not b.num_rows:
@@ -166,41 +219,22 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, weight: str | Non
             for k in range(len(names)):
                 d = b.column(k).dictionary_encode()
                 words.append([*d.dictionary.to_pylist(), None])
-                number = number * (len(d.dictionary) + 1) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+                number = number * len(words[-1]) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
             distinct, at = np.unique(number, return_inverse=True)
-            group = []
+            own = []
             for code in distinct.tolist():
                 key = []
                 for w_ in reversed(words):
                     key.append(w_[code % len(w_)])
                     code //= len(w_)
-                group.append(tuple(reversed(key)))
-            if len(held) + len(group) > HELD and held:
-                yield from flush()
-            for k in group:
-                if k not in held:
-                    held[k] = len(held)
-                    tops.append({})
-            if len(held) > len(cells):
-                more = max(2 * len(cells), len(held))
-                cells = np.concatenate([cells, np.zeros((more - len(cells), CELLS), np.int64)])
-                n = np.concatenate([n, np.zeros(more - len(n), np.int64)])
-            own = np.array([held[k] for k in group])[at]
-            codes, weights = encode(b.column(len(names)).to_numpy().astype(float)), b.column(len(names) + 1).to_numpy()
-            # equal codes of a group at once
-            pair, back = np.unique(own << BITS | codes, return_inverse=True)
-            weights = np.bincount(back, weights=weights).astype(np.int64)
-            own, codes = pair >> BITS, pair & ((1 << BITS) - 1)
-            np.add.at(n, own, weights)
-            for g, k, c in zip(own.tolist(), (codes >> LEVELS).tolist(), weights.tolist()):
-                t = tops[g]
-                t[k] = t.get(k, 0) + c
-            flat = cells.reshape(-1)
-            for level in range(LEVELS):
-                prefix = codes >> (LEVELS - 1 - level)
-                for row in range(DEPTH):
-                    place, sign = _places(prefix, level, row)
-                    np.add.at(flat, own * CELLS + (level * DEPTH + row) * WIDTH + place, sign * weights)
+                own.append(group_of.setdefault(tuple(reversed(key)), len(group_of)))
+            codes = encode(b.column(len(names)).to_numpy().astype(float))
+            waiting.append((np.array(own, np.int64)[at] << BITS | codes, b.column(len(names) + 1).to_numpy()))
+            if sum(len(p) for p, _ in waiting) >= HELD // 4:
+                settle()
+                if len(pairs) >= HELD:
+                    yield from flush()
+        settle()
         yield from flush()
 
     ddl = ", ".join(f"{n} string" for n in names) + ", n bigint, sketch binary"
