@@ -53,21 +53,21 @@ def carry_forward(vector: DataFrame, grid: Grid) -> DataFrame:
     return each.select("labels", F.explode(F.sequence(F.col("p.step"), F.element_at("until", F.col("i") + 1), F.lit(grid.step))).alias("step"), F.col("p.value").alias("value"))
 
 
-# functions whose partial states merge in any order: (partial aggregates, final value from merged partials)
-_DECOMPOSED: dict[str, tuple[dict[str, tuple[Column, Callable]], Callable[[], Column]]] = {
-    "sum_over_time": ({"s": (F.sum("value"), F.sum)}, lambda: F.col("s")),
-    "count_over_time": ({"c": (F.count("value"), F.sum)}, lambda: F.col("c")),
-    "avg_over_time": ({"s": (F.sum("value"), F.sum), "c": (F.count("value"), F.sum)}, lambda: F.col("s") / F.col("c")),
-    "min_over_time": ({"m": (F.min("value"), F.min)}, lambda: F.col("m")),
-    "max_over_time": ({"m": (F.max("value"), F.max)}, lambda: F.col("m")),
-    "last_over_time": ({"l": (F.max(F.struct("ts", "value")), F.max)}, lambda: F.col("l.value")),
-    "present_over_time": ({"c": (F.count("value"), F.sum)}, lambda: F.lit(1.0)),
+# functions whose partial states merge in any order: name -> {partial: (aggregate, how partials merge)}, final value
+_DECOMPOSED: dict[str, tuple[dict[str, tuple[Callable, Callable]], Callable[[], Column]]] = {
+    "sum_over_time": ({"s": (lambda: F.sum("value"), F.sum)}, lambda: F.col("s")),
+    "count_over_time": ({"c": (lambda: F.count("value"), F.sum)}, lambda: F.col("c")),
+    "avg_over_time": ({"s": (lambda: F.sum("value"), F.sum), "c": (lambda: F.count("value"), F.sum)}, lambda: F.col("s") / F.col("c")),
+    "min_over_time": ({"m": (lambda: F.min("value"), F.min)}, lambda: F.col("m")),
+    "max_over_time": ({"m": (lambda: F.max("value"), F.max)}, lambda: F.col("m")),
+    "last_over_time": ({"l": (lambda: F.max(F.struct("ts", "value")), F.max)}, lambda: F.col("l.value")),
+    "present_over_time": ({"c": (lambda: F.count("value"), F.sum)}, lambda: F.lit(1.0)),
 }
 
 
 def _decomposed(raw: DataFrame, grid: Grid, width: int, name: str) -> DataFrame:
     partials, value = _DECOMPOSED[name]
-    partial = _covered(raw, grid, width).groupBy("sid", "k_lo", "k_hi").agg(*(a.alias(n) for n, (a, _) in partials.items()))
+    partial = _covered(raw, grid, width).groupBy("sid", "k_lo", "k_hi").agg(*(a().alias(n) for n, (a, _) in partials.items()))
     merged = _on_steps(partial).groupBy("sid", "k").agg(*(m(n).alias(n) for n, (_, m) in partials.items()))
     return merged.select("sid", "k", value().alias("value"))
 

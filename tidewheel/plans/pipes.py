@@ -24,7 +24,7 @@ TOKEN = re.compile(r"""
   | (?P<string>"[^"]*")
   | (?P<op><=|<|==|!=|>=|>)
   | (?P<mark>[|();=:])
-  | (?P<word>[-\w./\\{}\[\]*?,^$%]+)
+  | (?P<word>!?[-\w./\\{}\[\]*?,^$%]+)
 """, re.VERBOSE)
 NUMBER = re.compile(r"-?(\d+|\d*\.\d+)$")
 

@@ -49,7 +49,7 @@ def p4_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Count, share and exact quantiles of every (metric, service) key; the heavy keys are marked."""
     got = skew_safe_summary(keyed_samples(spark, sf), ["metric_name", "service"], "value", [0.5, 0.9, 0.99], hot_share=0.03)
     q = F.col("quantiles")
-    return got.select("metric_name", "service", "n_rows", "n_values", *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "is_hot")
+    return got.select("metric_name", "service", "n_rows", "n_values", *((F.round(q[i] + F.lit(1e-9), 4) + F.lit(0.0)).alias(n) for i, n in enumerate(("p50", "p90", "p99"))), "is_hot")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +75,7 @@ SQL: dict[str, str] = {
     "p4_summary": """
         WITH k AS (SELECT coalesce(__name__, tags['__name__']) AS metric_name, tags['service'] AS service,
                           CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM samples)
-        SELECT metric_name, service, count(*) AS n_rows, count(v) AS n_values, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90,
-               round(quantile_cont(v, 0.99), 4) AS p99, count(*) >= 0.03 * (SELECT count(*) FROM samples) AS is_hot
+        SELECT metric_name, service, count(*) AS n_rows, count(v) AS n_values, round(quantile_cont(v, 0.5) + 1e-9, 4) + 0.0 AS p50, round(quantile_cont(v, 0.9) + 1e-9, 4) + 0.0 AS p90,
+               round(quantile_cont(v, 0.99) + 1e-9, 4) + 0.0 AS p99, count(*) >= 0.03 * (SELECT count(*) FROM samples) AS is_hot
         FROM k WHERE metric_name IS NOT NULL AND service IS NOT NULL GROUP BY ALL""",
 }

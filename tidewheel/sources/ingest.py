@@ -57,10 +57,10 @@ def influx(lines: DataFrame, column: str = "value", precision: str = "ns") -> Da
     head = F.split(F.col("p")[0], r"(?<!\\),")
     tags = F.transform(F.slice(head, 2, F.size(head)), lambda t: F.struct(clean(unescape(F.regexp_extract(t, r"^((?:[^=\\]|\\.)*)=", 1))).alias("key"), unescape(F.regexp_extract(t, r"^(?:[^=\\]|\\.)*=(.*)$", 1)).alias("value")))
     fields = F.split(F.col("p")[1], r"(?<!\\),(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-    scale = {"ns": 1000, "us": 1, "u": 1, "ms": -1000, "s": -SECOND}[precision]
-    time = F.expr("try_cast(p[2] as bigint)") if precision else None
-    ts = F.floor(time / scale) if scale > 0 else time * -scale
-    each = rows.select(clean(unescape(head[0])).alias("m"), tags.alias("tags"), F.when(F.size("p") > 2, ts).cast("bigint").alias("ts"), F.explode(fields).alias("f"))
+    time = "try_cast(p[2] as bigint)"
+    ts = F.expr({"ns": f"({time} - pmod({time}, 1000L)) div 1000L", "us": time, "u": time, "ms": f"{time} * 1000L", "s": f"{time} * {SECOND}L"}[precision])
+    each = rows.select(clean(unescape(head[0])).alias("m"), tags.alias("tags"), F.when(F.size("p") > 2, ts).cast("bigint").alias("ts"), fields.alias("fields"))
+    each = each.select("m", "tags", "ts", F.explode("fields").alias("f"))
     name = clean(unescape(F.regexp_extract("f", r"^((?:[^=\\]|\\.)*)=", 1)))
     raw = F.regexp_extract("f", r"^(?:[^=\\]|\\.)*=(.*)$", 1)
     each = each.withColumn("name", F.concat_ws("_", "m", name)).withColumn("raw", raw)
