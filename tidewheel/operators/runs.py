@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from tidewheel.session import checkpoint, ship
 
+#: Rows of a run, so that a run fits a task's memory some ten times over; more only where the runs would exceed ``MOST_RUNS``.
+RUN_ROWS = 300_000
+MOST_RUNS = 200_000
 #: name of the column with the run's number
 RUN = "__run"
 
@@ -97,10 +100,11 @@ class Edges:
 
 
 def ordered_runs(df: DataFrame, source: str, time: str, ident: str) -> DataFrame:
-    """``df`` in range partitions ordered by (source, time, ident), with the partition's number in ``__run``, checkpointed."""
+    """``df`` in range partitions of about ``RUN_ROWS`` rows, ordered by (source, time, ident), with the partition's number in ``__run``, checkpointed."""
     order = [source, time, ident]
     ship(df.sparkSession)
-    return checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(RUN, F.spark_partition_id()))
+    parts = max(1, min(-(-df.count() // RUN_ROWS), MOST_RUNS))
+    return checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(RUN, F.spark_partition_id()))
 
 
 def whole_run(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, np.ndarray]]:
