@@ -99,14 +99,15 @@ def mix_sources(documents: DataFrame, ident: str, text: str, source: str, target
     ``targets`` (a few rows): ``source``, target_share, max_repeats. Each document of a source gets ``rate`` copies in expectation (see
     ``mixing_rates``), at most max_repeats rounded up from the rate; a source's total differs from its wanted tokens by less than one document.
     Documents without a source, of a source without target or without tokens get 0 copies (the last: the rate rounded at random); an empty table gives
-    no rows. Ids should be unique: repeated ids are rounded separately.
+    no rows. A repeated id is rounded as often as it occurs.
 
     Scale: texts are tokenised where they are read; from there on only (id, source, tokens) move. Every partition rounds its own documents and leaves
     at most one fractional residual per source; residuals are combined by trees of ``FAN_IN`` until one per source remains, which is rounded at random.
     """
-    sizes = checkpoint(token_sizes(documents, ident, text, source, tokenizer).withColumn("part", F.spark_partition_id()))
+    sizes = token_sizes(documents, ident, text, source, tokenizer)
+    sizes = checkpoint(sizes.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
     rates = F.broadcast(mixing_rates(sizes, source, targets, total_tokens).select(source, "rate", "max_repeats"))  # as many rows as targets
-    rated = checkpoint(sizes.join(rates, source, "left").select(F.col(ident).alias("id"), F.col(source).alias("source"), "tokens", "part", F.coalesce("rate", F.lit(0.0)).alias("rate")))
+    rated = checkpoint(sizes.join(rates, source, "left").select(F.col("row").alias("id"), F.col(ident).alias("doc"), F.col(source).alias("source"), "tokens", "part", F.coalesce("rate", F.lit(0.0)).alias("rate")))
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
     rest = F.col("rate") - whole
     fractional = rated.where(rest > 1e-9).select("id", "source", F.col("tokens").alias("weight"), rest.alias("share"), F.col("part").cast("bigint").alias("node"))
@@ -157,11 +158,8 @@ def mix_sources(documents: DataFrame, ident: str, text: str, source: str, target
         most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
             # the last residual of each source
-            @F.udf("int")
-            def draw(i: int, p: float) -> int:
-                return int(_chance(seed, i, -1) < p)
-
-            done.append(left.select("id", draw("id", "share").alias("bit")))
+            draw = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)) < F.col("share")
+            done.append(left.select("id", draw.cast("int").alias("bit")))
             break
         number += 1
         node = F.floor(F.col("node") / FAN_IN)
@@ -170,7 +168,7 @@ def mix_sources(documents: DataFrame, ident: str, text: str, source: str, target
     bits = reduce(DataFrame.unionByName, done).groupBy("id").agg(F.sum("bit").alias("bit"))
     out = rated.join(bits, "id", "left")
     copies = (whole + F.coalesce(F.col("bit"), F.lit(0))).cast("int")
-    return out.select(F.col("id").alias(ident), F.col("source").alias(source), "tokens", copies.alias("copies"))
+    return out.select(F.col("doc").alias(ident), F.col("source").alias(source), "tokens", copies.alias("copies"))
 
 
 def mixing_report(mixed: DataFrame, source: str, targets: DataFrame) -> DataFrame:
