@@ -216,6 +216,14 @@ def restrict_tags(vector: DataFrame, strip: list[str]) -> DataFrame:
     return vector.withColumn("labels", drop_labels(F.col("labels"), strip))
 
 
+def _without(name: str, value: str):
+    return lambda k, v: ~((k == name) & (v == value))
+
+
+def _replacing(name: str, old: str, new: str):
+    return lambda k, v: F.when((k == name) & (v == old), F.lit(new)).otherwise(v)
+
+
 def map_tags(rows: DataFrame, *, write: dict[str, str] = {}, drop: list[str] = (), drop_with_value: dict[str, str] = {}, replace: list[tuple[str, str, str]] = ()) -> DataFrame:
     """Tag changes on write: set a tag, drop a tag, drop it where it has a value, replace a value by another."""
     labels = F.col("labels")
@@ -223,9 +231,9 @@ def map_tags(rows: DataFrame, *, write: dict[str, str] = {}, drop: list[str] = (
         labels = F.map_concat(drop_labels(labels, list(write)), literal_labels(write))
     labels = drop_labels(labels, list(drop))
     for k, v in drop_with_value.items():
-        labels = F.map_filter(labels, lambda a, b, k=k, v=v: ~((a == k) & (b == v)))
+        labels = F.map_filter(labels, _without(k, v))
     for k, old, new in replace:
-        labels = F.transform_values(labels, lambda a, b, k=k, old=old, new=new: F.when((a == k) & (b == old), F.lit(new)).otherwise(b))
+        labels = F.transform_values(labels, _replacing(k, old, new))
     return rows.withColumn("labels", labels)
 
 

@@ -91,7 +91,7 @@ def from_matchers(matchers: list[Matcher]) -> Query:
         if m.op in ("=", "!="):
             q: Query = ~Field(m.label) | Term(m.label, "") if m.value == "" else Term(m.label, m.value)
         elif m.value in (".*", ""):
-            q = All() if m.value else ~Field(m.label)
+            q = All() if m.value else ~Field(m.label) | Term(m.label, "")
         elif m.value == ".+":
             q = Field(m.label) & ~Term(m.label, "")
         else:
