@@ -40,8 +40,8 @@ class SeriesList:
 
 
 def path_of(name: Column) -> Column:
-    """The path within a name such as ``scale(a.b.c,2)``: the first run of path characters not followed by an opening bracket."""
-    found = F.regexp_extract(name, r"([^(),'\"\s]+)(?![^(),'\"\s]*\()", 1)
+    """The path within a name such as ``scale(a.b.c,2)``: the first run of path characters that is an argument or the whole name."""
+    found = F.regexp_extract(name, r"(?:^|[(,\s])([^(),'\"\s]+)(?=$|[),\s])", 1)
     return F.when(found != "", found).otherwise(name)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidewheel.operators.frames import SECOND, Grid
 
-#: Samples of a series that are put in order together lie within this many microseconds.
+#: Samples of a series that are put in order together lie within a window's 16th, but at least this many microseconds.
 CELL = 300 * SECOND
 
 
@@ -83,7 +83,7 @@ def _ordered(raw: DataFrame, grid: Grid, width: int) -> DataFrame:
 
     Samples are ordered within cells only; a cell's state is the concatenation monoid's element, and a window's few cells are folded in order.
     """
-    cell = F.expr(f"ts div {CELL}L")
+    cell = F.expr(f"ts div {max(CELL, width // 16)}L")
     w = Window.partitionBy("sid", "k_lo", "k_hi", "cell").orderBy("ts")
     rows = _covered(raw, grid, width).withColumn("cell", cell).withColumn("p_ts", F.lag("ts").over(w)).withColumn("p_v", F.lag("value").over(w))
     state = rows.groupBy("sid", "k_lo", "k_hi", "cell").agg(

@@ -553,30 +553,30 @@ def carbon_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     lines = e.select(F.concat_ws(" ", F.concat(F.lit("events."), "event_type", F.lit(".u"), "user_id"), F.col("value").cast("string"), at).alias("value"))
     broken = e.select(F.concat(F.lit("events.."), "event_type", F.lit(" x "), at).alias("value"))
     got = ingest.carbon(lines.unionByName(broken))
-    return got.groupBy(F.try_element_at("labels", F.lit("__g1__")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("ts").alias("times"))
+    return got.groupBy(F.try_element_at("labels", F.lit("__g1__")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.bit_xor("ts").alias("times"))
 
 
 QUERIES["carbon_lines"] = carbon_roundtrip
-SQL["carbon_lines"] = "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, CAST(sum(epoch_us(ts) // 1000000 * 1000000) AS BIGINT) AS times FROM events GROUP BY 1"
+SQL["carbon_lines"] = "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, bit_xor(epoch_us(ts) // 1000000 * 1000000) AS times FROM events GROUP BY 1"
 
 
 def influx_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     e = event_rows(spark, sf)
     line = F.concat(F.lit("events,type="), "event_type", F.lit(",user=u\\ "), "user_id", F.lit(" value="), F.col("value").cast("string"), F.lit(',n=3i,ok=true,note="a b,c" '), (F.col("ts") * 1000).cast("string"))
     got = ingest.influx(e.select(line.alias("value")))
-    return got.groupBy(F.try_element_at("labels", F.lit("__name__")).alias("name"), F.try_element_at("labels", F.lit("type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("ts").alias("times"))
+    return got.groupBy(F.try_element_at("labels", F.lit("__name__")).alias("name"), F.try_element_at("labels", F.lit("type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.bit_xor("ts").alias("times"))
 
 
 QUERIES["influx_lines"] = influx_roundtrip
 SQL["influx_lines"] = """WITH e AS (SELECT event_type, unnest([{'n': 'events_value', 'v': value}, {'n': 'events_n', 'v': 3.0}, {'n': 'events_ok', 'v': 1.0}]) AS f, epoch_us(ts) AS t FROM events)
-    SELECT f.n AS name, event_type, count(*) AS n, round(sum(f.v), 3) AS total, CAST(sum(t) AS BIGINT) AS times FROM e GROUP BY 1, 2"""
+    SELECT f.n AS name, event_type, count(*) AS n, round(sum(f.v), 3) AS total, bit_xor(t) AS times FROM e GROUP BY 1, 2"""
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     e = event_rows(spark, sf)
     line = F.to_json(F.struct(F.create_map(F.lit("type"), F.col("event_type")).alias("tags"), F.floor(F.col("ts") / SECOND).cast("string").alias("timestamp"), "value"))
     got = ingest.json_write(e.select(line.alias("value")))
-    return got.groupBy(F.try_element_at("labels", F.lit("type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.sum("ts").alias("times"))
+    return got.groupBy(F.try_element_at("labels", F.lit("type")).alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"), F.bit_xor("ts").alias("times"))
 
 
 QUERIES["json_lines"] = json_roundtrip
