@@ -328,12 +328,15 @@ def filter_series(x: SeriesList, f: str, op: str, threshold: float) -> SeriesLis
     return x.on(x.frame.join(keep, "ord", "left_semi"))
 
 
+def _reordered(x: SeriesList, ordered: DataFrame) -> SeriesList:
+    """Writes the order of ``ordered`` (sorted over all its partitions, one row per series) into ``ord``."""
+    places = ordered.withColumn("__o", F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")).select("ord", "__o")
+    return x.on(x.frame.join(places, "ord").withColumn("ord", F.col("__o")))
+
+
 def sort_by(x: SeriesList, f: str = "average", reverse: bool = False) -> SeriesList:
     """Orders the list by a number per series; ties keep their order. The order is written into ``ord``."""
-    r = _reduced(x, f)
-    w = Window.orderBy(F.col("__r").desc() if reverse else F.col("__r").asc(), "ord")
-    ranks = r.withColumn("__o", F.lpad(F.row_number().over(w).cast("string"), 9, "0")).select("ord", "__o")
-    return x.on(x.frame.join(ranks, "ord").withColumn("ord", F.col("__o")))
+    return _reordered(x, _reduced(x, f).orderBy(F.col("__r").desc() if reverse else F.col("__r").asc(), "ord"))
 
 
 def extreme(x: SeriesList, n: int, f: str = "average", lowest: bool = False) -> SeriesList:
@@ -350,9 +353,7 @@ def sort_by_name(x: SeriesList, natural: bool = False, reverse: bool = False) ->
     if natural:  # digits padded, so that 9 comes before 10
         key = F.concat_ws("", F.transform(F.regexp_extract_all("name", F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)))
     names = x.frame.select("ord", key.alias("__k")).distinct()
-    w = Window.orderBy(F.col("__k").desc() if reverse else F.col("__k").asc(), "ord")
-    ranks = names.withColumn("__o", F.lpad(F.row_number().over(w).cast("string"), 9, "0")).select("ord", "__o")
-    return x.on(x.frame.join(ranks, "ord").withColumn("ord", F.col("__o")))
+    return _reordered(x, names.orderBy(F.col("__k").desc() if reverse else F.col("__k").asc(), "ord"))
 
 
 def limit(x: SeriesList, n: int) -> SeriesList:

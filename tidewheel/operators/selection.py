@@ -7,6 +7,7 @@ octave, later ones 1,024 equal parts of the bin's actual [min, max]. A rank is r
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,4 +113,4 @@ def skew_safe_summary(df: DataFrame, keys: list[str], value: str, probs: list[fl
     """
     total = df.count()
     got = exact_quantiles(df, keys, value, probs).where(reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys], F.lit(True)))
-    return got.withColumn("row_share", F.col("n_rows") / F.lit(max(total, 1))).withColumn("is_hot", F.col("n_rows") >= F.lit(hot_share) * F.lit(total))
+    return got.withColumn("row_share", F.col("n_rows") / F.lit(max(total, 1))).withColumn("is_hot", F.col("n_rows") >= F.lit(Decimal(str(hot_share)) * total))

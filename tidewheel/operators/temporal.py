@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewheel.operators.frames import SECOND, Grid
+from tidewheel.operators.frames import SECOND, Grid, label_key
 
 #: Samples of a series that are put in order together lie within a window's 16th, but at least this many microseconds.
 CELL = 300 * SECOND
@@ -45,12 +45,17 @@ def align(raw: DataFrame, dim: DataFrame, grid: Grid, lookback: int) -> DataFram
 
 
 def carry_forward(vector: DataFrame, grid: Grid) -> DataFrame:
-    """Each series from its first step on, holding the last value where one is absent."""
-    key = F.struct("step", "value")
-    spans = vector.groupBy("labels").agg(F.sort_array(F.collect_list(key)).alias("points"))
+    """Each series from its first step on, holding the last value where one is absent. A series has at most the grid's steps."""
     end = grid.start + (grid.count - 1) * grid.step
-    each = spans.select("labels", F.posexplode("points").alias("i", "p"), F.expr(f"transform(points, (p, i) -> coalesce(try_element_at(points, i + 2).step - {grid.step}L, {end}L))").alias("until"))
-    return each.select("labels", F.explode(F.sequence(F.col("p.step"), F.element_at("until", F.col("i") + 1), F.lit(grid.step))).alias("step"), F.col("p.value").alias("value"))
+    w = Window.partitionBy("__k").orderBy("step")
+    rows = vector.withColumn("__k", label_key(F.col("labels"))).withColumn("__next", F.coalesce(F.lead("step").over(w) - grid.step, F.lit(end)))
+    return rows.select("labels", F.explode(F.sequence("step", "__next", F.lit(grid.step))).alias("step"), "value")
+
+
+def accumulate(raw: DataFrame, dim: DataFrame, grid: Grid, width: int) -> DataFrame:
+    """All samples of each step's window, in time order: labels, step, points array<struct<ts, value>>."""
+    each = _on_steps(_covered(raw, grid, width)).groupBy("sid", "k").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("points"))
+    return each.join(dim, "sid").select("labels", (F.col("k") * grid.step + grid.start).alias("step"), "points")
 
 
 # functions whose partial states merge in any order: name -> {partial: (aggregate, how partials merge)}, final value

@@ -212,6 +212,14 @@ def sort_instant(vector: DataFrame, descending: bool = False) -> DataFrame:
     return vector.orderBy(F.isnan(v), v.desc() if descending else v.asc(), label_key(F.col("labels")))
 
 
+def statistics(vector: DataFrame) -> DataFrame:
+    """Count, sum, extremes, mean and population deviation of each series over its steps."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    key = vector.withColumn("__k", label_key(F.col("labels")))
+    out = key.groupBy("__k").agg(F.first("labels").alias("labels"), F.count(v).alias("count"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"))
+    return out.drop("__k")
+
+
 def restrict_tags(vector: DataFrame, strip: list[str]) -> DataFrame:
     return vector.withColumn("labels", drop_labels(F.col("labels"), strip))
 

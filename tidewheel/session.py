@@ -33,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not named:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local"):  # "local" masters are one machine
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidewheel-checkpoint-")
     sc.setCheckpointDir(named)
