@@ -234,7 +234,8 @@ SQL["histogram_quantile"] = """
 def samples_increase(spark: SparkSession, sf: str) -> DataFrame:
     """Sum by service of the increase of counters over six hours."""
     engine = Engine(stored_samples(spark, sf))
-    return shown(engine.query_range('sum by (service) (increase({__name__=~".+_total"}[6h]))', WEEK, WEEK + 7 * DAY, 6 * 3600))
+    got = engine.query_range('sum by (service) (increase({__name__=~".+_total"}[6h]))', WEEK, WEEK + 7 * DAY, 6 * 3600)
+    return got.select(series_text(F.col("labels")).alias("series"), "step", significant(F.col("value")))
 
 
 QUERIES["samples_increase"] = samples_increase
@@ -246,9 +247,8 @@ SQL["samples_increase"] = f"""
       s AS (SELECT series_id, service, step, count(*) AS n, min(t) AS ft, max(t) AS lt, arg_min(v, t) AS fv, arg_max(v, t) AS lv, sum(CASE WHEN v < p THEN p ELSE 0 END) AS corr FROM r GROUP BY ALL),
       a AS (SELECT *, lv - fv + corr AS chg, (lt - ft) / 1e6 AS cov, (ft - (step - 21600000000)) / 1e6 AS ts, (step - lt) / 1e6 AS te FROM s WHERE n > 1),
       b AS (SELECT *, CASE WHEN chg > 0 AND fv >= 0 AND cov * (fv / chg) < ts THEN cov * (fv / chg) ELSE ts END AS tz, cov / (n - 1) AS gap FROM a)
-    SELECT '{{service="' || service || '"}}' AS series, step, round(sum(chg * ((cov + CASE WHEN tz < gap * 1.1 THEN tz ELSE gap / 2 END + CASE WHEN te < gap * 1.1 THEN te ELSE gap / 2 END) / cov)), 2) + 0.0 AS value
+    SELECT '{{service="' || service || '"}}' AS series, step, {significant_sql("sum(chg * ((cov + CASE WHEN tz < gap * 1.1 THEN tz ELSE gap / 2 END + CASE WHEN te < gap * 1.1 THEN te ELSE gap / 2 END) / cov))")} AS value
     FROM b GROUP BY service, step"""
-QUERIES["samples_increase"] = lambda spark, sf: samples_increase(spark, sf).withColumn("value", F.round("value", 2) + F.lit(0.0))
 
 
 def samples_last(spark: SparkSession, sf: str) -> DataFrame:
