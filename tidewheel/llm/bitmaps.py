@@ -27,7 +27,11 @@ def bit_position(identifier: Column) -> Column:
 
 
 def build_bitmaps(df: DataFrame, keys: list[str], identifier: str) -> DataFrame:
-    """``keys``, bitmap: one row per key. Null and blank identifiers aren't counted; a key with no others gets no row. Keys may be null."""
+    """``keys``, bitmap: one row per key. Null and blank identifiers aren't counted; a key with no others gets no row. Keys may be null.
+
+    Repeated rows and ties change nothing; an empty table gives no rows; columns other than ``keys`` and ``identifier`` are ignored, whatever their names.
+    Every task sends one 4 KiB bitmap per key, however many rows a key has.
+    """
     ident = F.col(f"`{identifier}`").cast("string")
     rows = df.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), ident.alias("__id")).where(F.trim("__id") != "")
     grouped = rows.groupBy(*(f"__k{i}" for i in range(len(keys)))).agg(F.bitmap_construct_agg(bit_position(F.col("__id"))).alias("bitmap"))

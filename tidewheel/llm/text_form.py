@@ -24,8 +24,8 @@ LATIN_FOR_GREEK = "ABEZHIKMNOPTYXojJ"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳͿ"
 
 # Characters without width outside the format category, and line breaks other than the line feed.
-NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍"
-BREAKS = "\r\u0085  \u000b\u000c"
+NO_WIDTH = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d"
+BREAKS = "\r\x85\u2028\u2029\x0b\x0c"
 
 
 class Conflict(ValueError):
