@@ -132,6 +132,48 @@ def test_edited_copy_is_found(spark):
     assert [(x["doc_id"], x["item_id"]) for x in got] == [(1, 7)] and got[0]["longest_run"] < 13 and got[0]["score_share"] > 0.8
 
 
+def edited(r, p):
+    """A copy with a word changed, inserted or left out after every 7 to 11 words."""
+    out, at = [], 0
+    while at < len(p):
+        k = r.randint(7, 11)
+        out += p[at : at + k]
+        at += k
+        new, skipped = r.choice([(["changed"], 1), (["inserted"], 0), ([], 1)])
+        out += new
+        at += skipped
+    return out
+
+
+@pytest.mark.parametrize("exact", [0, 1, 3])
+def test_copies_edited_throughout_are_found_beside_exact_ones(spark, exact):
+    r = random.Random(4)
+    items = {i: [f"p{i}x{j}" for j in range(70)] for i in range(3)}
+    docs = {100 * i + k: r.choices(VOCABULARY, k=60) + (edited(r, p) if k else p) + r.choices(VOCABULARY, k=60) for i, p in items.items() for k in [0] * bool(exact) + [1, 2, 3]}
+    docs |= {1000 + 100 * i + k: p for i, p in items.items() for k in range(exact - 1)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id bigint, text string").repartition(3)
+    e = spark.createDataFrame([(i, " ".join(p)) for i, p in items.items()], "item_id bigint, passage string")
+    got = {(x["doc_id"], x["item_id"]): x for x in find_leaks(d, "doc_id", "text", e, "item_id", "passage").collect()}
+    assert set(got) == {(k, k % 1000 // 100) for k in docs}
+    assert all(x["longest_run"] < 12 and 0.5 <= x["score_share"] < 1 for (k, _), x in got.items() if k % 100 in (1, 2, 3) and k < 1000)
+
+
+def test_every_alignment_of_half_a_passage_comes_out(spark):
+    r = random.Random(5)
+    items = {i: r.choices(VOCABULARY[:150], k=r.randint(12, 40)) for i in range(8)}
+    docs = {}
+    for k in range(60):
+        p = edited(r, items[r.randrange(8)])
+        a = r.randint(0, len(p) // 2)
+        docs[k] = r.choices(VOCABULARY[:150], k=20) + p[a : a + r.randint(6, 40)] + r.choices(VOCABULARY[:150], k=20)
+    grams = lambda w: {tuple(w[a : a + 6]) for a in range(len(w) - 5)}
+    wanted = {(k, i) for k, t in docs.items() for i, p in items.items() if grams(t) & grams(p) and plain_alignment(p, t) >= len(p)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id bigint, text string")
+    e = spark.createDataFrame([(i, " ".join(p)) for i, p in items.items()], "item_id bigint, passage string")
+    rows = find_leaks(d, "doc_id", "text", e, "item_id", "passage").collect()
+    assert {(x["doc_id"], x["item_id"]) for x in rows if x["score_share"] >= 0.5} == wanted and len(wanted) > 20
+
+
 def test_empty_sides(spark):
     d, e = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string"), spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, passage string")
     assert find_leaks(d.limit(0), "doc_id", "text", e, "item_id", "passage").count() == 0

@@ -1,4 +1,4 @@
-"""Test passages inside a training corpus: rare n-gram seeds, then local alignment of the words around them."""
+"""Test passages inside a training corpus: n-gram seeds, then local alignment of the words around them."""
 
 from __future__ import annotations
 
@@ -45,6 +45,8 @@ class PassageIndex:
         self.grams = np.unique(np.concatenate(per)) if per else np.empty(0, np.uint64)
         #: number of the n-gram at each place of each passage
         self.places = [np.searchsorted(self.grams, h) for h in per]
+        #: distinct words of each passage and how often it has them
+        self.content = [np.unique(p, return_counts=True) for p in self.passages]
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
         """Hash of the n-gram that starts at each place."""
@@ -55,23 +57,21 @@ class PassageIndex:
             h ^= h >> np.uint64(29)
         return h
 
-    def seeds(self, found: dict[int, int], run: int) -> dict[int, list[int]]:
-        """Seed n-grams with the passages they occur in: of each ``run`` consecutive words of a passage the n-gram rarest in the corpus.
-
-        So whatever shares ``run`` consecutive words with a passage shares a seed with it.
-        """
-        chosen: set[int] = set()
-        for grams in self.places:
-            counts = np.array([found.get(int(g), 0) for g in grams])
-            wide = max(1, min(run, len(grams) + self.n - 1) - self.n + 1)
-            for i in range(len(grams) - wide + 1):
-                chosen.add(int(grams[i + int(counts[i : i + wide].argmin())]))
+    def seeds(self, found: dict[int, int], run: int | None = None) -> dict[int, list[int]]:
+        """Seed n-grams with the passages they occur in: all that occur in the corpus, whatever ``run`` is, as an edited copy may keep any of them."""
         out: dict[int, list[int]] = defaultdict(list)
         for p, grams in enumerate(self.places):
-            for g in set(grams.tolist()) & chosen:
-                out[g].append(p)
+            for g in set(grams.tolist()):
+                if found.get(g, 0):
+                    out[g].append(p)
         return dict(out)
 
+    def common(self, passage: int, have: np.ndarray, times: np.ndarray) -> int:
+        """Words of a passage that other text with the (sorted) words ``have`` can match at most, each used as often as it occurs."""
+        own, counts = self.content[passage]
+        at = np.minimum(np.searchsorted(have, own), len(have) - 1)
+        return int(np.minimum(counts, np.where(have[at] == own, times[at], 0)).sum())
+
 
 def align(passage: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman score (linear gaps) and longest shared run of consecutive words of a passage with each row of ``windows`` (padded with 0)."""
@@ -106,14 +106,15 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
     """Documents with (parts of) test passages: doc, item, longest_run, score_share, n_seeds.
 
     ``longest_run`` is the number of consecutive words shared, ``score_share`` the local alignment's score as a share of a perfect copy's. A row comes
-    out if the run is at least ``run`` or the share at least ``min_share``, which also finds edited and paraphrased copies that keep one seed.
+    out if the run is at least ``run`` or the share at least ``min_share``, which also finds edited and paraphrased copies that keep one n-gram.
+    ``n_seeds`` is the number of places in the document's words around it with an n-gram of the passage.
 
     Words are runs of letters and digits, in lower case, of the consistent form; n-grams have ``n`` words. Null or empty texts, null ids and passages
     of fewer than ``n`` words give no rows; items with the same passage each get a row; a repeated document id counts once; empty tables give no rows.
 
-    Scale: one pass over the corpus without any shuffle keeps only windows of words around n-grams of the passages. Seeds (of each ``run`` words the
-    n-gram rarest in the corpus, counted over all documents) are chosen from counts of at most one row per n-gram of the passages, and windows without
-    a seed are dropped. The passages are held in blocks of ``BLOCK_WORDS`` words.
+    Scale: one pass over the corpus without any shuffle keeps only windows of words around n-grams of the passages. Every n-gram
+    of a passage that occurs there is a seed. Of the pairs of window and passage that share one, those are aligned which can reach ``run`` (by the number
+    of seeds) or ``min_share`` (by the words they have in common); the bounds lose no row. The passages are held in blocks of ``BLOCK_WORDS`` words.
     """
     ship(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
@@ -187,8 +188,10 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
                             hits[p] += 1
                     if hits:
                         ids = w.values.to_numpy()
+                        have, times = np.unique(ids, return_counts=True)
                         for p, k in hits.items():
-                            wanted[p].append((d, ids, k))
+                            if k > run - n or x.common(p, have, times) >= min_share * len(x.passages[p]):
+                                wanted[p].append((d, ids, k))
                 rows: list[tuple] = []
                 for p, group in wanted.items():
                     group.sort(key=lambda r: len(r[1]))
