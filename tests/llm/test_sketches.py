@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import dyadic
+from tidewheel.llm import dyadic, queries
 from tidewheel.llm.bitmaps import build_bitmaps, estimate_distinct, merge_bitmaps
 from tidewheel.llm.dyadic import VALUE_ERROR, Sketch, build_sketches, decode, encode, merge_sketches, sketch_quantiles
 from tidewheel.llm.mixing import mix_sources, mixing_report, pivotal, token_sizes
@@ -70,6 +70,50 @@ def test_merge_equals_direct_and_deletion_undoes(spark, monkeypatch):
     assert sorted(map(str, c)) == sorted(map(str, b))
 
 
+def test_small_groups_packed_plainly_equal_the_rest():
+    r = np.random.default_rng(3)
+    groups = [np.unique(encode(r.normal(0, 50, r.integers(1, 90)))) for _ in range(300)]
+    sketches = [Sketch(c, r.integers(1, 9, len(c))) for c in groups]
+    packed = [s.pack() for s in sketches]
+    plain = [i for i, x in enumerate(packed) if x[:1] == b"\0"]
+    assert 0 < len(plain) < len(packed)
+    for s, x in zip(sketches, packed):
+        back = Sketch.unpack(x)
+        assert back.n == s.n and (back.codes == s.codes).all() and (back.weights == s.weights).all()
+    assert dyadic._plain_quantiles([packed[i] for i in plain], PROBS) == [sketches[i].quantiles(PROBS)[0] for i in plain]
+
+
+def plain_percentiles(values):
+    v = np.sort(np.array(values))
+    return [float(v[int(p * (len(v) - 1))]) for p in (0.5, 0.9, 0.99)]
+
+
+def test_every_tag_has_percentiles(spark, tmp_path):
+    r = random.Random(8)
+    tags = {"samples": ["service", "region", "env", "instance"], "unaggregated": ["app", "region", "client"]}
+    row_tags = lambda t: {k: f"{k}{r.randint(0, 30 if k in ('instance', 'client') else 1)}" for k in tags[t] if r.random() < 0.9}
+    samples = [("m", row_tags("samples"), r.gauss(0, 50)) for _ in range(900)]
+    records = [("timer", "t+x", None, row_tags("unaggregated"), None, [r.gauss(5, 9) for _ in range(r.randint(0, 3))], None, f"2024-05-0{r.randint(6, 8)} 01:00:00") for _ in range(900)]
+    spark.createDataFrame(samples, "__name__ string, tags map<string,string>, value double").write.parquet(f"{tmp_path}/samples.parquet")
+    ddl = "type string, id string, __name__ string, tags map<string,string>, counter_val bigint, batch_timer array<double>, gauge_val double, timestamp string"
+    spark.createDataFrame(records, ddl).selectExpr("* except (timestamp)", "cast(timestamp as timestamp_ntz) as timestamp").write.parquet(f"{tmp_path}/unaggregated.parquet")
+    want: dict[str, dict] = {q: {} for q in ("p2_sample_percentiles", "p2_day_percentiles", "p2_week_from_days")}
+    for name, t, v in samples:
+        for k in [*tags["samples"], None]:
+            want["p2_sample_percentiles"].setdefault((name, k, t.get(k)), []).append(v)
+    for kind, ident, _, t, _, timers, _, at in records:
+        for k in [*tags["unaggregated"], None]:
+            want["p2_day_percentiles"].setdefault((ident.split("+")[0], kind, at[:10], k, t.get(k)), []).extend(timers)
+            want["p2_week_from_days"].setdefault((ident.split("+")[0], kind, k, t.get(k)), []).extend(timers)
+    for q, groups in want.items():
+        rows = queries.QUERIES[q](spark, str(tmp_path)).collect()
+        got = {tuple(x)[: -6]: x for x in rows}
+        assert len(got) == len(rows) and set(got) == {k for k, v in groups.items() if v}
+        for k, x in got.items():
+            assert x["n"] == len(groups[k]) and x["rank_error"] == 0
+            assert np.allclose([x["p50"], x["p90"], x["p99"]], plain_percentiles(groups[k]), rtol=2 * VALUE_ERROR)
+
+
 def test_sketch_of_nothing(spark):
     df = spark.createDataFrame([("a", None), ("a", float("nan"))], "g string, v double")
     assert build_sketches(df, ["g"], "v").count() == 0

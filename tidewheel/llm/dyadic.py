@@ -11,6 +11,7 @@ the way down; ``rank_error`` states twice its standard deviation as a share of n
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,9 @@ LEVELS = BITS - EXACT
 CELLS = LEVELS * DEPTH * WIDTH
 #: Different codes up to which a sketch keeps its updates as they are.
 SPARSE = 2048
+#: Different codes up to which a packed sketch is plain, so that many small groups need no work by group: a zero byte and ``PAIR`` by code.
+PLAIN = 32
+PAIR = np.dtype([("code", "<i4"), ("weight", "<i8")])
 #: Different (key, code) pairs that a task holds at once (16 bytes each); beyond it the task sends what it has and goes on.
 HELD = 1 << 21
 #: Largest error of a value as a share of it.
@@ -74,6 +78,12 @@ def _none() -> np.ndarray:
     return np.empty(0, np.int64)
 
 
+def _pairs(codes: np.ndarray, weights: np.ndarray) -> bytes:
+    out = np.empty(len(codes), PAIR)
+    out["code"], out["weight"] = codes, weights
+    return out.tobytes()
+
+
 class Sketch:
     """A group's sketch: n, exact counts of short prefixes and signed counters.
 
@@ -115,6 +125,8 @@ class Sketch:
             self._settle()
 
     def pack(self) -> bytes:
+        if self.cells is None and 0 < len(self.codes) <= PLAIN and (self.weights > 0).all():
+            return b"\0" + _pairs(self.codes, self.weights)
         keys, counts = (self.codes, self.weights) if self.cells is None else (self.top, self.top_counts)
         cells = _none() if self.cells is None else self.cells
         wide = np.dtype(np.int64 if max(np.abs(counts).max(initial=0), np.abs(cells).max(initial=0)) > 2**31 - 1 else np.int32)
@@ -123,6 +135,9 @@ class Sketch:
 
     @staticmethod
     def unpack(packed: bytes) -> Sketch:
+        if packed[:1] == b"\0":
+            pairs = np.frombuffer(packed, PAIR, offset=1)
+            return Sketch(pairs["code"].astype(np.int64), pairs["weight"].astype(np.int64))
         data = zlib.decompress(packed)
         s = Sketch()
         n, size, width, dense = np.frombuffer(data, np.int64, 4).tolist()
@@ -173,6 +188,17 @@ class Sketch:
         return found, float(min(heaviest, 2 * np.sqrt((moments / WIDTH).sum()) * 1.25 / np.sqrt(2 * DEPTH) / self.n))
 
 
+def _plain_quantiles(packed: list[bytes], probs: list[float]) -> list[list[float]]:
+    """The quantiles of plain packed sketches, all at once."""
+    pairs = np.frombuffer(b"".join([x[1:] for x in packed]), PAIR)
+    last = np.cumsum([len(x) // PAIR.itemsize for x in packed]) - 1
+    ends = np.cumsum(pairs["weight"])
+    base = np.r_[0, ends[last[:-1]]]
+    n = ends[last] - base
+    at = [np.minimum(np.searchsorted(ends, base + np.floor(p * (n - 1)).astype(np.int64), side="right"), last) for p in probs]
+    return decode(pairs["code"].astype(np.int64)[np.stack(at, axis=1)]).tolist()
+
+
 def build_sketches(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Partial sketches: ``keys``, n, sketch; usually several rows per key (one per task), to be merged by ``merge_sketches``.
 
@@ -200,11 +226,14 @@ def build_sketches(df: DataFrame, keys: list[str], value: str, weight: str | Non
             groups, start = np.unique(pairs >> BITS, return_index=True)
             ends = np.r_[start[1:], len(pairs)]
             codes = pairs & ((1 << BITS) - 1)
+            totals = np.add.reduceat(weights, start) if len(start) else _none()
+            plain = (ends - start <= PLAIN) & (np.minimum.reduceat(weights, start) > 0) if len(start) else np.empty(0, bool)
             for a in range(0, len(groups), 256):
-                packed = []
-                for g, i, j in zip(groups[a : a + 256].tolist(), start[a : a + 256], ends[a : a + 256]):
-                    s = Sketch(codes[i:j], weights[i:j])
-                    packed.append((*key_of[g], s.n, s.pack()))
+                packed, upto = [], min(a + 256, len(groups))
+                low, step = start[a], PAIR.itemsize
+                raw = _pairs(codes[low : ends[upto - 1]], weights[low : ends[upto - 1]]) if plain[a:upto].any() else b""
+                for g, i, j, n, easy in zip(*(x[a:upto].tolist() for x in (groups, start, ends, totals, plain))):
+                    packed.append((*key_of[g], n, b"\0" + raw[(i - low) * step : (j - low) * step] if easy else Sketch(codes[i:j], weights[i:j]).pack()))
                 c = list(zip(*packed))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:-2]] + [pa.array(c[-2], pa.int64()), pa.array(c[-1], pa.binary())], [*names, "n", "sketch"])
             group_of.clear()
@@ -254,6 +283,10 @@ def merge_sketches(sketches: DataFrame, keys: list[str], signs: str | None = Non
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, None, []
 
+        def row() -> tuple:
+            # a plain sketch that is its key's only one stays as it is
+            return (*key, sum(w for _, w in struct.iter_unpack("<iq", held[1:])), held) if isinstance(held, bytes) else (*key, held.n, held.pack())
+
         def batch() -> pa.RecordBatch:
             c = list(zip(*out))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[: len(names)]] + [pa.array(c[-2], pa.int64()), pa.array(c[-1], pa.binary())], [*names, "n", "sketch"])
@@ -262,14 +295,21 @@ def merge_sketches(sketches: DataFrame, keys: list[str], signs: str | None = Non
             for *k, s, packed in zip(*(b.column(i).to_pylist() for i in range(len(names) + 2))):
                 if held is None or k != key:
                     if held is not None:
-                        out.append((*key, held.n, held.pack()))
-                    key, held = k, Sketch()
+                        out.append(row())
+                    key, held = k, packed if s == 1 and packed[:1] == b"\0" else Sketch()
+                    if held is packed:
+                        continue
+                if isinstance(held, bytes):
+                    held = Sketch.unpack(held)
                 held.add(Sketch.unpack(packed), s)
                 if len(out) >= 256:
                     yield batch()
                     out = []
+            if len(out) >= 256:
+                yield batch()
+                out = []
         if held is not None:
-            out.append((*key, held.n, held.pack()))
+            out.append(row())
         if out:
             yield batch()
 
@@ -283,7 +323,10 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], probs: list[float]) -
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [Sketch.unpack(x).quantiles(probs) for x in b.column(len(names) + 1).to_pylist()]
+            packed = b.column(len(names) + 1).to_pylist()
+            plain = [x for x in packed if x[:1] == b"\0"]
+            easy = iter(_plain_quantiles(plain, probs) if plain else ())
+            got = [(next(easy), 0.0) if x[:1] == b"\0" else Sketch.unpack(x).quantiles(probs) for x in packed]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(len(names) + 1)), pa.array([q for q, _ in got], pa.list_(pa.float64())), pa.array([e for _, e in got], pa.float64()), pa.array([VALUE_ERROR] * b.num_rows, pa.float64())],
                 [*names, "n", "quantiles", "rank_error", "value_error"],

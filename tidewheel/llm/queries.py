@@ -51,7 +51,7 @@ PROBS = [0.5, 0.9, 0.99]
 
 def sample_sketches(spark: SparkSession, sf: str) -> DataFrame:
     name = F.coalesce(F.col("__name__"), F.try_element_at("tags", F.lit("__name__"))).alias("metric_name")
-    rows = _long_tags(table(spark, sf, "samples").select(name, "tags", "value"), ["service", "region", "env"], "metric_name", "value")
+    rows = _long_tags(table(spark, sf, "samples").select(name, "tags", "value"), ["service", "region", "env", "instance"], "metric_name", "value")
     return build_sketches(rows, ["metric_name", "tag", "tag_value"], "value")
 
 
@@ -66,7 +66,7 @@ def day_sketches(spark: SparkSession, sf: str) -> DataFrame:
     name = F.coalesce(F.col("__name__"), F.split_part("id", F.lit("+"), F.lit(1))).alias("metric_name")
     values = F.when(F.col("type") == "timer", F.col("batch_timer")).when(F.col("type") == "gauge", F.array("gauge_val")).when(F.col("type") == "counter", F.array(F.col("counter_val").cast("double")))
     rows = t.select(name, "type", F.to_date("timestamp").cast("string").alias("day"), "tags", F.explode(values).alias("value"))
-    rows = _long_tags(rows, ["app", "region"], "metric_name", "type", "day", "value")
+    rows = _long_tags(rows, ["app", "region", "client"], "metric_name", "type", "day", "value")
     return build_sketches(rows, ["metric_name", "type", "day", "tag", "tag_value"], "value")
 
 
