@@ -7,7 +7,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidewheel.operators.frames import SECOND
 from tidewheel.plans import catalogue, quality_queries
+from tidewheel.plans.graphite import Renderer
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings samples series metric_info unaggregated eval_items mix_targets".split()
@@ -46,6 +48,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_products_and_powers_take_every_series(spark):
+    series = Renderer(catalogue.paths(spark, SF)).render("events.*.*", catalogue.START * SECOND, (catalogue.START + catalogue.DAYS * catalogue.DAY) * SECOND, catalogue.DAY * SECOND)
+    days: dict[int, list[float]] = {}
+    for r in series.orderBy("name").collect():
+        days.setdefault(r["step"], []).append(r["value"] * 1e-6 + 1)
+    wanted = {s: (math.prod(v), (v[0] ** math.prod(v[1:]) - 1) * 1000) for s, v in days.items()}
+    assert max(map(len, days.values())) > 10
+    for i, name in enumerate(("g_multiply_all", "g_pow")):
+        got = {r["step"]: r["value"] for r in QUERIES[name](spark, SF).collect()}
+        assert set(got) == set(wanted) and all(abs(got[s] - w[i]) < 2e-6 for s, w in wanted.items())
+
+
 def test_contract(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(QUERIES) <= set(q) and set(s) <= set(q) and all(callable(f) for f in q.values())

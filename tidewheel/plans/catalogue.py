@@ -349,6 +349,9 @@ for _f, _s in (("sum", "sum(x)"), ("average", "avg(x)"), ("min", "min(x)"), ("ma
     target(f"g_{_f}", f"{_f}Series(events.*.*)", f"WITH {P} {named(_s, f"'{_f}Series'", 'p', 'GROUP BY step')}")
 target("g_count", "countSeries(events.*.*)", f"WITH {P} {named('(SELECT CAST(count(DISTINCT name) AS DOUBLE) FROM p)', "'countSeries'", 'g')}")
 target("g_multiply", "multiplySeries(scale(events.click.u1?,0.1))", f"WITH {P} {named('product(x * 0.1)', "'multiplySeries'", 'p', "WHERE event_type = 'click' AND length(user_id) = 2 AND starts_with(user_id, '1') GROUP BY step")}")
+#: all series moved near 1, so that products over them stay finite
+_NEAR_1 = "offset(scale(events.*.*,0.000001),1)"
+target("g_multiply_all", f"multiplySeries({_NEAR_1})", f"WITH {P} {named('product(x * 0.000001 + 1)', "'multiplySeries'", 'p', 'GROUP BY step')}")
 target("g_diff", "diffSeries(events.click.*)", f"WITH {P}, f AS (SELECT min(name) AS first FROM p WHERE event_type = 'click') {named('sum(CASE WHEN name = first THEN x ELSE -x END)', "'diffSeries'", 'p, f', "WHERE event_type = 'click' GROUP BY step")}")
 target("g_last", "lastSeries(events.click.*)", f"WITH {P} {named('arg_max(x, name)', "'lastSeries'", 'p', "WHERE event_type = 'click' GROUP BY step")}")
 target("g_group_by_node", "groupByNode(events.*.*, 1, 'sum')", f"WITH {P} {named('sum(x)', 'event_type', 'p', 'GROUP BY event_type, step')}")
@@ -398,7 +401,7 @@ target("g_apply_by_node", "applyByNode(events.*.*, 1, 'sumSeries(%.*)', '%.total
 target("g_sustained_above", "aliasByNode(sustainedAbove(groupByNode(events.*.*, 1, 'max'), 150, '2d'), 0)", f"""WITH {P}, m AS (SELECT event_type, step, max(x) AS x FROM p GROUP BY ALL),
     q AS (SELECT event_type, step, x, step - row_number() OVER (PARTITION BY event_type ORDER BY step) * {DAY}000000 AS isle FROM m WHERE x >= 150), n AS (SELECT *, count(*) OVER (PARTITION BY event_type, isle) AS c FROM q)
     {named('x', 'event_type', 'n', 'WHERE c >= 2')}""")
-target("g_pow", "powSeries(scale(events.click.u1?, 0.02))", None)
+target("g_pow", f"alias(scale(offset(powSeries({_NEAR_1}),-1),1000),'pow')", f"WITH {P}, y AS (SELECT name, step, x * 0.000001 + 1 AS y FROM p), k AS (SELECT step, arg_min(y, name) AS first, product(y) AS whole FROM y GROUP BY step) {named('(pow(first, whole / first) - 1) * 1000', "'pow'", 'k')}")
 target("g_interpolate", "aliasByNode(interpolate(events.*.*), 1, 2)", None)
 target("g_moving_median", "aliasByNode(movingMedian(events.*.*, 5), 1, 2)", f"WITH {D} SELECT * FROM (SELECT {_ALIAS} AS name, step, round(median(x) OVER (PARTITION BY name ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) + 1e-10, 6) + 0.0 AS value FROM d) WHERE value IS NOT NULL")
 target("g_ema", "aliasByNode(exponentialMovingAverage(events.*.*, 5), 1, 2)", None)
