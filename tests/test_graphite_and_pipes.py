@@ -110,6 +110,18 @@ def test_max_data_points(renderer):
     assert run(renderer, "b.x.cpu", max_points=2) == {"b.x.cpu": {0: 5.0, 2: 5.0}}
 
 
+def test_aggregate_honours_the_share_of_series(renderer):
+    full = line(11, 22, 30, 4)
+    assert run(renderer, "aggregate(a.{x,y}.cpu, 'sum')") == {"sumSeries": full} == run(renderer, "aggregate(a.{x,y}.cpu, 'sum', 0.5)")
+    assert run(renderer, "aggregate(a.{x,y}.cpu, 'sum', 0.6)") == {"sumSeries": line(11, 22)} == run(renderer, "aggregate(a.{x,y}.cpu, 'sum', xFilesFactor=1)")
+
+
+@pytest.mark.parametrize("target", ["consolidateBy(a.x.cpu, 'sum')", "alias(consolidateBy(a.x.cpu, 'sum'), 'x')", "randomWalk('x')"])
+def test_functions_that_are_not_built_are_unknown(renderer, target):
+    with pytest.raises(TargetError, match="unknown function"):
+        renderer.render(target, 0, 240 * SECOND, 60 * SECOND, max_points=2)
+
+
 def test_find(renderer):
     assert {(r["path"], r["leaf"]) for r in renderer.find("a.x.*").collect()} == {("a.x.cpu", True), ("a.x.mem", True), ("a.x.cpu", False)}
     assert {r["text"] for r in renderer.find("*").collect()} == {"a", "b"}

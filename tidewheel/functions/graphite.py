@@ -114,6 +114,16 @@ def combine(x: SeriesList, f: str, label: str, by: Column | None = None) -> Seri
     return x.on(out.select(F.col("__key").alias("ord"), F.col("__key").alias("name"), "step", "value"))
 
 
+def covered(combined: SeriesList, x: SeriesList, x_files: float) -> SeriesList:
+    """The steps of ``combined`` at which at least a share ``x_files`` of the list's series have a value."""
+    if x_files <= 0:
+        return combined
+    total = x.frame.agg(F.countDistinct("ord").alias("__total"))
+    steps = x.frame.where("value is not null").groupBy("step").agg(F.countDistinct("ord").alias("__n"))
+    kept = steps.crossJoin(F.broadcast(total)).where(F.col("__n") >= F.col("__total") * F.lit(float(x_files))).select("step")
+    return combined.on(combined.frame.join(kept, "step", "left_semi"))
+
+
 def percentile_of_series(x: SeriesList, n: float, interpolate: bool = False) -> SeriesList:
     out = x.frame.where("value is not null").groupBy("step").agg(_percentile_of(F.collect_list("value"), n, interpolate).alias("value"))
     label = F.lit(f"percentileOfSeries({n:g})")

@@ -111,7 +111,7 @@ def _value(name: str, value: Callable) -> Callable:
 FUNCTIONS: dict[str, Callable] = {
     **{f"{f}Series": _combined(f) for f in ("sum", "average", "min", "max", "multiply", "pow", "last", "diff", "median", "stddev", "count", "rangeOf")},
     **{short: _combined(f) for short, f in (("sum", "sum"), ("avg", "average"), ("min", "min"), ("max", "max"), ("diff", "diff"))},
-    "aggregate": lambda x, f, _files=None: g.combine(x, f, f"{f}Series"),
+    "aggregate": lambda x, f, xFilesFactor=None: g.covered(g.combine(x, f, f"{f}Series"), x, xFilesFactor or 0.0),
     "percentileOfSeries": lambda x, n, interpolate=False: g.percentile_of_series(x, n, interpolate),
     "groupByNode": lambda x, n, f="average": g.group_by_nodes(x, f, n),
     "groupByNodes": lambda x, f, *nodes: g.group_by_nodes(x, f, *nodes),
@@ -175,7 +175,6 @@ FUNCTIONS: dict[str, Callable] = {
     "aliasByNode": lambda x, *n: g.alias_by_node(x, *n), "aliasByTags": lambda x, *n: g.alias_by_node(x, *n),
     "aliasByMetric": lambda x: g.alias_by_node(x, -1),
     "aliasSub": lambda x, pattern, to: g.alias_sub(x, pattern, to),
-    "consolidateBy": lambda x, f: x,
 }
 FUNCTIONS["movingAverage"], FUNCTIONS["averageSeries"] = _moving("avg"), _combined("average")
 
@@ -214,7 +213,7 @@ class Renderer:
             return self._line(e.args[0], grid, F.col("step") / SECOND)
         if e.name in ("constantLine", "threshold", "constantSeries"):
             return self._line(f"{float(e.args[0]):g}", grid, F.lit(float(e.args[0])))
-        if e.name in ("randomWalk", "time", "timeFunction"):
+        if e.name in ("time", "timeFunction"):
             return self._line(e.args[0], grid, F.col("step") / SECOND)
         if e.name == "applyByNode":
             return self._apply_by_node(e, grid)
