@@ -13,7 +13,7 @@ from tidewheel.operators.implausible import flag_implausible, forward_backward,
 SCHEMA = "sid bigint, ts bigint, value double, id bigint, bad boolean, source string, ok string"
 
 
-def expected(rows):
+def expected(rows, spike_steps=20.0, spike_readings=3, min_run=8, steady=0.6):
     """Ids flagged by the definition, reading by reading."""
     by, ids = {}, {}
     for sid, ts, value, ident, bad, *_ in sorted((r for r in rows if r[0] is not None and r[1] is not None and r[2] is not None and not math.isnan(r[2])), key=lambda r: (r[0], r[1], r[3])):
@@ -25,9 +25,9 @@ def expected(rows):
         good = [(t, v) for t, (v, bad) in readings.items() if not bad]
         v = [x for _, x in good]
         steps = [abs(b - a) for a, b in zip(v, v[1:])]
-        if steps and sum(s == 0 for s in steps) / len(steps) < 0.6:
-            limit = 20 * float(np.median(steps))
-            for n in (1, 2, 3):
+        if steps and sum(s == 0 for s in steps) / len(steps) < steady:
+            limit = spike_steps * float(np.median(steps))
+            for n in range(1, spike_readings + 1):
                 for i in range(1, len(v) - n):
                     a, b, g = v[i - 1], v[i + n], v[i : i + n]
                     if min(g) - max(a, b) > limit or min(a, b) - max(g) > limit:
@@ -37,7 +37,7 @@ def expected(rows):
                 j = i
                 while j + 1 < len(v) and v[j + 1] == v[i]:
                     j += 1
-                if j - i >= 7:
+                if j - i >= min_run - 1:
                     hit |= {good[k][0] for k in range(i, j + 1)}
                 i = j + 1
         for t in hit:
@@ -85,19 +85,54 @@ def test_matches_definition_in_any_cut(spark, monkeypatch, seed, run_rows):
     rows = made(seed)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     got = flag_implausible(df, "sid", "ts", "value", "id", "bad")
-    assert got.columns == ["id", "sid", "ts", "value", "p_spike", "p_stuck", "p_range", "flag", "exact"]
+    assert got.columns == ["id", "sid", "ts", "value", "p_spike", "p_stuck", "p_range", "flag"]
     rows_out = got.collect()
-    assert {r["id"] for r in rows_out if r["exact"]} == expected(rows)
+    assert {r["id"] for r in rows_out} == expected(rows)
     assert len({r["id"] for r in rows_out}) == len(rows_out)
-    assert all(0.4 <= r["p_spike"] + r["p_stuck"] + r["p_range"] <= 1.0001 for r in rows_out)
+    assert all(0.5 <= r["p_spike"] + r["p_stuck"] + r["p_range"] <= 1.0001 for r in rows_out)
+
+
+@pytest.mark.parametrize("how", [{"spike_steps": 10.0}, {"spike_steps": 4.0, "spike_readings": 1}, {"min_run": 4}, {"min_run": 2}, {"min_run": 40}, {"spike_readings": 5, "min_run": 6, "steady": 0.3}])
+def test_parameters_move_the_flags(spark, monkeypatch, how):
+    monkeypatch.setattr(runs, "RUN_ROWS", 400)
+    rows = made(11, sources=4)
+    ident = 10**6
+    for k in range(3):  # a long frozen stretch
+        rows += [(2, 10**7 + k * 10**5 + i, 50.0 + k, ident + 1000 * k + i, False, "x", "y") for i in range(38 + k)]
+    got = {r["id"] for r in flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad", **how).collect()}
+    assert got == expected(rows, **how) and got != expected(rows)
+
+
+def test_impossible_readings_do_not_break_a_run(spark):
+    values = [float(i % 3) for i in range(40)]
+    values[10:10] = [5.0] * 4 + [-1.0] + [5.0] * 3 + [-1.0, -1.0] + [5.0]
+    values += [70.0, -1.0, 70.0] + [float(i % 3) for i in range(9)]
+    rows = [(1, i, v, i, v < 0, "", "") for i, v in enumerate(values)]
+    got = flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad").collect()
+    assert {r["id"] for r in got} == expected(rows) >= set(range(10, 21)) | {51, 52, 53}
+    assert {r["id"]: r["flag"] for r in got}[14] == "impossible"
+
+
+def test_fifteen_steps_and_runs_of_four(spark):
+    walk = [float(i % 2) for i in range(60)]
+    walk[30] = 16.0
+    rows = [(1, i, v, i, False, "", "") for i, v in enumerate(walk)]
+    half = [v for i in range(40) for v in ([i] * 2 if i % 2 else [i])]
+    half[20:20] = [77.0] * 4
+    rows += [(2, i, float(v), 1000 + i, False, "", "") for i, v in enumerate(half)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    flagged = lambda **how: {r["id"] for r in flag_implausible(df, "sid", "ts", "value", "id", "bad", **how).collect()}
+    assert flagged() == set() and flagged(spike_steps=10.0) == {30} | {i for i in expected(rows, spike_steps=10.0) if i >= 1000}
+    assert {1020, 1021, 1022, 1023} <= flagged(min_run=4) == expected(rows, min_run=4)
 
 
-def test_segments_do_not_matter(spark, monkeypatch):
-    rows = made(5, sources=2)
-    df = spark.createDataFrame(rows, SCHEMA)
-    whole = {(r["id"], r["flag"]) for r in flag_implausible(df, "sid", "ts", "value", "id", "bad").collect()}
-    monkeypatch.setattr(implausible, "SEGMENT", 100)
-    assert {(r["id"], r["flag"]) for r in flag_implausible(df, "sid", "ts", "value", "id", "bad").collect()} == whole
+def test_probabilities_grow_with_the_evidence(spark):
+    rows = [(s, i, float(i % 2) + (up if i == 30 else 0), 100 * s + i, False, "", "") for s, up in enumerate((21.5, 30.0, 300.0), 1) for i in range(60)]
+    got = {r["sid"]: r["p_spike"] for r in flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad").collect()}
+    assert 0.5 < got[1] < got[2] < got[3]
+    assert flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad", min_share=(got[1] + got[2]) / 2).count() == 2
+    with pytest.raises(ValueError):
+        flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad", min_run=1)
 
 
 def test_empty_and_single(spark):
@@ -112,24 +147,24 @@ def test_copies_over_several_runs(spark, monkeypatch):
     monkeypatch.setattr(runs, "RUN_ROWS", 40)
     rows = [(1, t * 10, 100.0 + t % 3, t, False, "", "") for t in range(60)]
     rows += [(1, 305, 9000.0 + (i > 0), 1000 + i, False, "", "") for i in range(200)]
-    got = {r["id"] for r in flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad").where("exact").collect()}
+    got = {r["id"] for r in flag_implausible(spark.createDataFrame(rows, SCHEMA), "sid", "ts", "value", "id", "bad").collect()}
     assert got == set(range(1000, 1200)) == expected(rows)
 
 
 def test_forward_backward_equals_plain_recursion():
-    rng = np.random.default_rng(0)
-    w, fresh = rng.random((203, 4)) + 1e-3, rng.random(203) < 0.05
+    rng, m = np.random.default_rng(0), implausible.Model.of(3, 8)
+    w, fresh = rng.random((203, 6)) + 1e-3, rng.random(203) < 0.05
     fresh[0] = True
-    a = np.zeros((203, 4))
+    a = np.zeros((203, 6))
     for t in range(203):
-        a[t] = (implausible.START if fresh[t] else a[t - 1] @ implausible.STEP) * w[t]
+        a[t] = (m.start if fresh[t] else a[t - 1] @ m.step) * w[t]
         a[t] /= a[t].sum()
-    b = np.ones((203, 4))
+    b = np.ones((203, 6))
     for t in range(201, -1, -1):
-        b[t] = np.full(4, (implausible.START * w[t + 1] * b[t + 1]).sum()) if fresh[t + 1] else implausible.STEP @ (w[t + 1] * b[t + 1])
+        b[t] = np.full(6, (m.start * w[t + 1] * b[t + 1]).sum()) if fresh[t + 1] else m.step @ (w[t + 1] * b[t + 1])
         b[t] /= b[t].sum()
     p = a * b
-    assert np.allclose(forward_backward(w, fresh), p / p.sum(axis=1, keepdims=True))
+    assert np.allclose(forward_backward(w, fresh, m), p / p.sum(axis=1, keepdims=True))
 
 
 def test_features():

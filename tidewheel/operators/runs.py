@@ -1,15 +1,15 @@
-"""Ordered runs: every source's rows in time order, cut into partitions of even size whatever the skew.
+"""Ordered runs: every source's rows in time order, cut into stretches of even size whatever the skew.
 
-Rows are range-partitioned on (source, time, id), so a source that holds a third of all rows spreads over a third of the partitions and even the
-copies of one reading can spread. A partition is then a *run*: a contiguous stretch of the global order. What a sequential operator needs from
-beyond a run's ends are a few readings; they travel as *edges*, whose size is bounded by (number of partitions) x (halo length).
+The order (source, time, id) is cut at boundaries taken from a bounded sample of keys, so a source that holds a third of all rows spreads over a third of
+the *runs* and even the copies of one reading can spread. Rows are shuffled once, by the number of their run, and checkpointed together with that
+partitioning: the passes of an operator group by run without another shuffle.
 
-The runs are checkpointed, so the three or so passes of an operator read the same partitions, also after the loss of an executor.
+What a sequential operator needs from beyond a run's ends are a few readings, its *edges*. They go from run to run by a shuffle of their own, one row per
+run and side, and meet the run's rows in a co-group; nothing about rows or runs goes through the driver.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +23,9 @@ from tidewheel.session import checkpoint, ship
 #: Rows of a run, so that a run fits a task's memory some ten times over; more only where the runs would exceed ``MOST_RUNS``.
 RUN_ROWS = 300_000
 MOST_RUNS = 200_000
+#: Keys that the sample has per run (fewer if it would have more than ``MOST_KEYS``), and keys that the driver sees at most.
+KEYS_PER_RUN = 128
+MOST_KEYS = 1_000_000
 #: name of the column with the run's number
 RUN = "__run"
 
@@ -51,70 +54,61 @@ class Readings:
         return Readings(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))
 
 
-@dataclass
-class Edges:
-    """First and last readings of every run that holds any, by the run's number."""
-
-    runs: list[int]
-    heads: dict[int, Readings]
-    tails: dict[int, Readings]
-
-    def spanning(self) -> np.ndarray:
-        """Sources whose readings lie in more than one run; at most one per run boundary."""
-        found = [int(self.heads[b].source[0]) for a, b in zip(self.runs, self.runs[1:]) if self.tails[a].source[-1] == self.heads[b].source[0]]
-        return np.unique(np.array(found, np.int64))
-
-    def before(self, run: int, source: int, count: int) -> Readings:
-        """Up to ``count`` usable readings of ``source`` just before the run, and those between them; each time once, as first delivered."""
-        parts: list[Readings] = []
-        usable = 0
-        for i in range(bisect.bisect_left(self.runs, run) - 1, -1, -1):
-            tail = self.tails[self.runs[i]]
-            part = tail.take(tail.source == source)
-            if not len(part):
-                break
-            parts.insert(0, part)
-            usable = len(np.unique(np.concatenate([p.ts[p.ok] for p in parts])))
-            if usable > count or self.heads[self.runs[i]].source[0] != source:
-                break
-        if not parts:
-            return Readings.empty()
-        found = Readings.join(parts)
-        return found.take(np.r_[True, found.ts[1:] != found.ts[:-1]])
-
-    def after(self, run: int, source: int, ts: int, count: int) -> Readings:
-        """Up to ``count`` usable readings of ``source`` after the run and later than ``ts``, and those between them."""
-        parts: list[Readings] = []
-        for i in range(bisect.bisect_right(self.runs, run), len(self.runs)):
-            head = self.heads[self.runs[i]]
-            part = head.take((head.source == source) & (head.ts > ts))
-            mine = head.source == source
-            if not mine.any():
-                break
-            if len(part):
-                parts.append(part)
-                ts = int(part.ts[-1])
-            if sum(int(p.ok.sum()) for p in parts) > count or self.tails[self.runs[i]].source[-1] != source:
-                break
-        return Readings.join(parts) if parts else Readings.empty()
+def _boundaries(df: DataFrame, order: list[str]) -> list[np.ndarray]:
+    """Keys at which the order is cut. Every task samples every so many of its rows; at most ``MOST_KEYS`` of them are looked at, whatever the size."""
+    stride = max(1, RUN_ROWS // KEYS_PER_RUN)
+    sample = checkpoint(df.select(*order, F.monotonically_increasing_id().alias("__at")).where(F.col("__at") % stride == 0).drop("__at"))
+    size = sample.count()
+    thin = -(-size // MOST_KEYS)
+    if thin > 1:
+        sample = sample.select("*", F.monotonically_increasing_id().alias("__at")).where(F.col("__at") % thin == 0).drop("__at")
+    keys = sample.toArrow()
+    arrays = [keys.column(n).to_numpy() for n in order]
+    at = np.lexsort(arrays[::-1])
+    every = max(1, RUN_ROWS // (stride * max(thin, 1)), -(-len(at) // MOST_RUNS))
+    cut = [a[at[every::every]] for a in arrays]
+    if not len(cut[0]):
+        return cut
+    fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in cut], axis=0)]
+    fresh[0] = any(c[0] != a[at[0]] for c, a in zip(cut, arrays))  # no run without rows
+    return [c[fresh] for c in cut]
+
+
+def _places(cut: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """How many of the (ordered) boundaries are at or before each key: binary search, all keys at once."""
+    low, high = np.zeros(len(keys[0]), np.int64), np.full(len(keys[0]), len(cut[0]), np.int64)
+    while (open_ := low < high).any():
+        mid = np.minimum((low + high) // 2, len(cut[0]) - 1)
+        before, tied = np.zeros(len(low), bool), np.ones(len(low), bool)
+        for c, k in zip(cut, keys):
+            before |= tied & (c[mid] < k)
+            tied &= c[mid] == k
+        right = before | tied
+        low, high = np.where(open_ & right, mid + 1, low), np.where(open_ & ~right, mid, high)
+    return low
 
 
 def ordered_runs(df: DataFrame, source: str, time: str, ident: str) -> DataFrame:
-    """``df`` in range partitions of about ``RUN_ROWS`` rows, ordered by (source, time, ident), with the partition's number in ``__run``, checkpointed."""
+    """``df`` with the number of its run in ``__run``, partitioned by it and ordered by (run, source, time, ident) within partitions, checkpointed.
+
+    Two scans: one for a sample of keys, one for the shuffle. A run has about ``RUN_ROWS`` rows. Sent to the driver: at most ``MOST_KEYS`` keys of 24 bytes.
+    """
     order = [source, time, ident]
     ship(df.sparkSession)
-    parts = max(1, min(-(-df.count() // RUN_ROWS), MOST_RUNS))
-    return checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(RUN, F.spark_partition_id()))
+    cut = _boundaries(df, order)
+    if len(cut[0]):
+        shared = df.sparkSession.sparkContext.broadcast(cut)
+        at = [df.columns.index(n) for n in order]
 
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                run = _places(shared.value, [b.column(i).to_numpy() for i in at]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run)], [*b.schema.names, RUN])
 
-def whole_run(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, np.ndarray]]:
-    """A run's columns; its size is bounded by the range partitioning, whatever the skew of sources."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return -1, {}
-    t = pa.Table.from_batches(parts)
-    columns = {n: t.column(n).to_numpy() for n in t.column_names}
-    return int(columns[RUN][0]), columns
+        numbered = df.mapInArrow(number, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {RUN} int")
+    else:
+        numbered = df.withColumn(RUN, F.lit(0))
+    return checkpoint(numbered.repartition(len(cut[0]) + 1, RUN).sortWithinPartitions(RUN, *order), keep_partitioning=True)
 
 
 def distinct(columns: dict[str, np.ndarray], source: str, time: str) -> np.ndarray:
@@ -123,42 +117,102 @@ def distinct(columns: dict[str, np.ndarray], source: str, time: str) -> np.ndarr
     return np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]
 
 
-def collect_edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, halo: int) -> Edges:
-    """The ``halo`` first and last readings of each run, with as many usable ones (where ``ok`` is true) if these lie further inside.
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    return {n: t.column(n).to_numpy() for n in t.column_names}
+
+
+_EDGE = pa.schema([("run", pa.int32()), ("side", pa.int32()), ("source", pa.int64()), ("whole", pa.bool_()), ("ts", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("ok", pa.list_(pa.bool_()))])
+_EDGE_DDL = "run int, side int, source bigint, whole boolean, ts array<bigint>, value array<double>, ok array<boolean>"
+#: sides: the last readings of a run go to the one after it, the first readings to the one before it
+TAIL, HEAD = 1, -1
+
+
+def _outermost(side: int, ok: np.ndarray, halo: int) -> np.ndarray:
+    """The ``halo`` outermost readings and the ``halo`` outermost usable ones."""
+    at, usable = np.arange(len(ok)), np.flatnonzero(ok)
+    return np.union1d(at[-halo:], usable[-halo:]) if side == TAIL else np.union1d(at[:halo], usable[:halo])
+
 
-    Sent to the driver: at most 4 x halo readings of 25 bytes per partition, independent of the number of rows and sources.
+def edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, halo: int) -> DataFrame:
+    """What each run must know of its neighbours: run, side, source, ts, value, ok; checkpointed.
+
+    Side 1: up to ``halo`` usable readings (where ``ok`` is true) of the run's first source from before the run, and as many of any kind; side -1: those of
+    its last source from after the run. Each time counts once, as first delivered. A side without such readings has no row.
+
+    Where a run has too few readings of a source that goes on beyond it, the edge is completed from the runs further on by doubling: in round k from the run
+    2**k away. Real runs need no such round.
     """
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, c = whole_run(batches)
-        if not c:
-            return
+    def ends(t: pa.Table) -> pa.Table:
+        c = _columns(t)
         at = np.flatnonzero(distinct(c, source, time))
-        good = c[ok].astype(bool) if ok else np.ones(len(c[source]), bool)
-        inside = at[good[at]]
-        rows = {"run": [run]}
-        for end, i in (("head", np.union1d(at[:halo], inside[:halo])), ("tail", np.union1d(at[-halo:], inside[-halo:]))):
-            rows |= {f"{end}_source": [c[source][i]], f"{end}_ts": [c[time][i]], f"{end}_value": [c[value][i].astype(float)], f"{end}_ok": [good[i]]}
-        yield pa.RecordBatch.from_pydict(rows, schema=schema)
+        own = Readings(c[source][at], c[time][at], c[value][at].astype(float), c[ok][at].astype(bool) if ok else np.ones(len(at), bool))
+        rows: dict[str, list] = {n: [] for n in _EDGE.names}
+        for side, who in ((TAIL, own.source[-1]), (HEAD, own.source[0])):
+            mine = own.take(own.source == who)
+            few = len(mine) == len(own) and int(mine.ok.sum()) <= halo
+            mine = mine.take(_outermost(side, mine.ok, halo))
+            for n, x in zip(_EDGE.names, (int(c[RUN][0]), side, int(who), few, mine.ts, mine.value, mine.ok)):
+                rows[n].append(x)
+        return pa.table({n: pa.array(x, _EDGE.field(n).type) for n, x in rows.items()})
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                side, more = r["side"], r["o_source"] is not None and r["o_source"] == r["source"]
+                near, far = ({n: np.array(r[p + n], k) for n, k in (("ts", np.int64), ("value", float), ("ok", bool))} if more or not p else None for p in ("", "o_"))
+                if more:
+                    first, then = (far, near) if side == TAIL else (near, far)
+                    later = then["ts"] > first["ts"][-1] if len(first["ts"]) else np.ones(len(then["ts"]), bool)
+                    near = {n: np.concatenate([first[n], then[n][later]]) for n in near}
+                usable = int(near["ok"].sum())
+                at = _outermost(side, near["ok"], halo)
+                rows.append((r["run"], side, r["source"], bool(more and r["o_whole"] and usable <= halo), *(near[n][at] for n in ("ts", "value", "ok"))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _EDGE)], _EDGE.names)
+
+    found = checkpoint(runs.groupBy(RUN).applyInArrow(ends, _EDGE_DDL))
+    far = 1
+    while found.where("whole").limit(1).count():
+        other = found.select((F.col("run") + F.col("side") * far).alias("run"), "side", *(F.col(n).alias(f"o_{n}") for n in ("source", "whole", "ts", "value", "ok")))
+        found = checkpoint(found.where("not whole").unionByName(found.where("whole").join(other, ["run", "side"], "left").mapInArrow(extend, _EDGE_DDL)))
+        far *= 2
+    sent = found.select((F.col("run") + F.col("side")).alias("run"), "side", "source", "ts", "value", "ok")
+    whose = found.select("run", (-F.col("side")).alias("side"), "source")  # a run's first source looks at the tail before it, its last at the head after it
+    return checkpoint(sent.join(whose, ["run", "side", "source"], "left_semi"))
 
-    fields = [("source", "bigint", pa.int64()), ("ts", "bigint", pa.int64()), ("value", "double", pa.float64()), ("ok", "boolean", pa.bool_())]
-    schema = pa.schema([("run", pa.int32())] + [(f"{e}_{n}", pa.list_(p)) for e in ("head", "tail") for n, _, p in fields])
-    ddl = "run int, " + ", ".join(f"{e}_{n} array<{d}>" for e in ("head", "tail") for n, d, _ in fields)
-    got = runs.mapInArrow(ends, ddl).collect()
 
-    def side(r, end: str) -> Readings:
-        return Readings(np.array(r[f"{end}_source"], np.int64), np.array(r[f"{end}_ts"], np.int64), np.array(r[f"{end}_value"], float), np.array(r[f"{end}_ok"], bool))
+@dataclass
+class Near:
+    """The edges of one run: readings before and after it, and the values of further columns of their rows by source."""
+
+    before: Readings
+    after: Readings
+    known: dict[int, dict]
+
+    @staticmethod
+    def of(t: pa.Table) -> Near:
+        sides = {TAIL: Readings.empty(), HEAD: Readings.empty()}
+        known = {}
+        for r in t.to_pylist():
+            sides[r["side"]] = Readings(np.full(len(r["ts"]), r["source"], np.int64), np.array(r["ts"], np.int64), np.array(r["value"], float), np.array(r["ok"], bool))
+            known[r["source"]] = {n: r[n] for n in t.column_names if n not in _EDGE.names}
+        return Near(sides[TAIL], sides[HEAD], known)
+
 
-    by = {r["run"]: r for r in got}
-    return Edges(sorted(by), {k: side(r, "head") for k, r in by.items()}, {k: side(r, "tail") for k, r in by.items()})
+def over_runs(runs: DataFrame, near: DataFrame, work: Callable[[dict[str, np.ndarray], Near], pa.Table | None], ddl: str) -> DataFrame:
+    """Apply ``work(columns of a run, its edges)`` to each run. Only the edges are shuffled."""
 
+    def each(rows: pa.Table, edge: pa.Table) -> pa.Table:
+        out = work(_columns(rows), Near.of(edge)) if rows.num_rows else None
+        return out if out is not None else blank
 
-def over_runs(runs: DataFrame, work: Callable[[int, dict[str, np.ndarray]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """Apply ``work(run, columns)`` to each run."""
+    blank = _blank(ddl)
+    return runs.groupBy(RUN).cogroup(near.withColumnRenamed("run", RUN).groupBy(RUN)).applyInArrow(each, ddl)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, c = whole_run(batches)
-        if c:
-            yield from work(run, c)
 
-    return runs.mapInArrow(each, ddl)
+def _blank(ddl: str) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.strip().rsplit(" ", 1) for f in ddl.split(",")]
+    return pa.schema([(n.strip("`"), kinds[k]) for n, k in fields]).empty_table()

@@ -54,10 +54,21 @@ def ship(spark: SparkSession) -> None:
     sc._tidewheel_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written reliably to the shared folder, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """``df`` written reliably to the shared folder, with its lineage cut.
+
+    ``keep_partitioning``: later plans know how the rows are partitioned and ordered. An adaptive plan forgets it, so this one is planned without.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
