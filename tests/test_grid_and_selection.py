@@ -56,6 +56,13 @@ def test_grid(spark, monkeypatch, seed, run_rows):
         assert got[k]["avg"] == pytest.approx(avg, abs=1e-9) and got[k]["coverage"] == pytest.approx(cover, abs=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 500])
+def test_each_partition_holds_one_run(spark, parts):
+    labels = runs._labels(parts)
+    df = spark.createDataFrame([(int(x),) for x in labels], "x int").repartition(parts, "x")
+    assert [len(p) for p in df.rdd.glom().collect()] == [1] * parts
+
+
 def test_grid_of_nothing_and_long_gap(spark):
     schema = "sid bigint, ts bigint, value double, id bigint, step int"
     assert regular_grid(spark.createDataFrame([], schema), "sid", "ts", "value", "id", "step").count() == 0

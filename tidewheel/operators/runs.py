@@ -26,8 +26,8 @@ MOST_RUNS = 200_000
 #: Keys that the sample has per run (fewer if it would have more than ``MOST_KEYS``), and keys that the driver sees at most.
 KEYS_PER_RUN = 128
 MOST_KEYS = 1_000_000
-#: name of the column with the run's number
-RUN = "__run"
+#: names of the columns with the run's number and with the label that stands for it where rows are partitioned
+NUMBER, RUN = "__number", "__run"
 
 
 @dataclass
@@ -88,8 +88,32 @@ def _places(cut: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
     return low
 
 
+def _spark_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's hash partitioning makes of ints (32-bit Murmur3, seed 42)."""
+
+    def turn(a: np.ndarray, by: int) -> np.ndarray:
+        return a << np.uint32(by) | a >> np.uint32(32 - by)
+
+    h = turn(np.uint32(42) ^ turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).astype(np.int32)
+
+
+def _labels(parts: int) -> np.ndarray:
+    """Ints of which the k-th falls into the k-th of ``parts`` hash partitions, so that each partition holds one run. A miss would only cost evenness."""
+    labels, at = np.full(parts, -1, np.int32), 0
+    while (labels < 0).any():
+        x = np.arange(at, at + 4 * parts + 16)
+        part, first = np.unique(_spark_hash(x).astype(np.int64) % parts, return_index=True)
+        labels[part] = np.where(labels[part] < 0, x[first], labels[part])
+        at += len(x)
+    return labels
+
+
 def ordered_runs(df: DataFrame, source: str, time: str, ident: str) -> DataFrame:
-    """``df`` with the number of its run in ``__run``, partitioned by it and ordered by (run, source, time, ident) within partitions, checkpointed.
+    """``df`` with the number and label of its run, partitioned by it and ordered by (run, source, time, ident) within partitions, checkpointed.
 
     Two scans: one for a sample of keys, one for the shuffle. A run has about ``RUN_ROWS`` rows. Sent to the driver: at most ``MOST_KEYS`` keys of 24 bytes.
     """
@@ -97,17 +121,18 @@ def ordered_runs(df: DataFrame, source: str, time: str, ident: str) -> DataFrame
     ship(df.sparkSession)
     cut = _boundaries(df, order)
     if len(cut[0]):
-        shared = df.sparkSession.sparkContext.broadcast(cut)
+        shared = df.sparkSession.sparkContext.broadcast((cut, _labels(len(cut[0]) + 1)))
         at = [df.columns.index(n) for n in order]
 
         def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cut, labels = shared.value
             for b in batches:
-                run = _places(shared.value, [b.column(i).to_numpy() for i in at]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run)], [*b.schema.names, RUN])
+                run = _places(cut, [b.column(i).to_numpy() for i in at])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(run.astype(np.int32)), pa.array(labels[run])], [*b.schema.names, NUMBER, RUN])
 
-        numbered = df.mapInArrow(number, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {RUN} int")
+        numbered = df.mapInArrow(number, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {NUMBER} int, {RUN} int")
     else:
-        numbered = df.withColumn(RUN, F.lit(0))
+        numbered = df.withColumn(NUMBER, F.lit(0)).withColumn(RUN, F.lit(0))
     return checkpoint(numbered.repartition(len(cut[0]) + 1, RUN).sortWithinPartitions(RUN, *order), keep_partitioning=True)
 
 
@@ -121,8 +146,8 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     return {n: t.column(n).to_numpy() for n in t.column_names}
 
 
-_EDGE = pa.schema([("run", pa.int32()), ("side", pa.int32()), ("source", pa.int64()), ("whole", pa.bool_()), ("ts", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("ok", pa.list_(pa.bool_()))])
-_EDGE_DDL = "run int, side int, source bigint, whole boolean, ts array<bigint>, value array<double>, ok array<boolean>"
+_EDGE = pa.schema([("run", pa.int32()), ("label", pa.int32()), ("side", pa.int32()), ("source", pa.int64()), ("whole", pa.bool_()), ("ts", pa.list_(pa.int64())), ("value", pa.list_(pa.float64())), ("ok", pa.list_(pa.bool_()))])
+_EDGE_DDL = "run int, label int, side int, source bigint, whole boolean, ts array<bigint>, value array<double>, ok array<boolean>"
 #: sides: the last readings of a run go to the one after it, the first readings to the one before it
 TAIL, HEAD = 1, -1
 
@@ -134,7 +159,7 @@ def _outermost(side: int, ok: np.ndarray, halo: int) -> np.ndarray:
 
 
 def edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, halo: int) -> DataFrame:
-    """What each run must know of its neighbours: run, side, source, ts, value, ok; checkpointed.
+    """What each run must know of its neighbours: label of the run, side, source, ts, value, ok; checkpointed.
 
     Side 1: up to ``halo`` usable readings (where ``ok`` is true) of the run's first source from before the run, and as many of any kind; side -1: those of
     its last source from after the run. Each time counts once, as first delivered. A side without such readings has no row.
@@ -152,7 +177,7 @@ def edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, h
             mine = own.take(own.source == who)
             few = len(mine) == len(own) and int(mine.ok.sum()) <= halo
             mine = mine.take(_outermost(side, mine.ok, halo))
-            for n, x in zip(_EDGE.names, (int(c[RUN][0]), side, int(who), few, mine.ts, mine.value, mine.ok)):
+            for n, x in zip(_EDGE.names, (int(c[NUMBER][0]), int(c[RUN][0]), side, int(who), few, mine.ts, mine.value, mine.ok)):
                 rows[n].append(x)
         return pa.table({n: pa.array(x, _EDGE.field(n).type) for n, x in rows.items()})
 
@@ -168,7 +193,7 @@ def edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, h
                     near = {n: np.concatenate([first[n], then[n][later]]) for n in near}
                 usable = int(near["ok"].sum())
                 at = _outermost(side, near["ok"], halo)
-                rows.append((r["run"], side, r["source"], bool(more and r["o_whole"] and usable <= halo), *(near[n][at] for n in ("ts", "value", "ok"))))
+                rows.append((r["run"], r["label"], side, r["source"], bool(more and r["o_whole"] and usable <= halo), *(near[n][at] for n in ("ts", "value", "ok"))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _EDGE)], _EDGE.names)
 
@@ -179,8 +204,8 @@ def edges(runs: DataFrame, source: str, time: str, value: str, ok: str | None, h
         found = checkpoint(found.where("not whole").unionByName(found.where("whole").join(other, ["run", "side"], "left").mapInArrow(extend, _EDGE_DDL)))
         far *= 2
     sent = found.select((F.col("run") + F.col("side")).alias("run"), "side", "source", "ts", "value", "ok")
-    whose = found.select("run", (-F.col("side")).alias("side"), "source")  # a run's first source looks at the tail before it, its last at the head after it
-    return checkpoint(sent.join(whose, ["run", "side", "source"], "left_semi"))
+    whose = found.select("run", "label", (-F.col("side")).alias("side"), "source")  # a run's first source looks at the tail before it, its last at the head after it
+    return checkpoint(sent.join(whose, ["run", "side", "source"]))
 
 
 @dataclass
@@ -197,7 +222,7 @@ class Near:
         known = {}
         for r in t.to_pylist():
             sides[r["side"]] = Readings(np.full(len(r["ts"]), r["source"], np.int64), np.array(r["ts"], np.int64), np.array(r["value"], float), np.array(r["ok"], bool))
-            known[r["source"]] = {n: r[n] for n in t.column_names if n not in _EDGE.names}
+            known[r["source"]] = {n: r[n] for n in t.column_names if n != RUN and n not in _EDGE.names}
         return Near(sides[TAIL], sides[HEAD], known)
 
 
@@ -209,7 +234,7 @@ def over_runs(runs: DataFrame, near: DataFrame, work: Callable[[dict[str, np.nda
         return out if out is not None else blank
 
     blank = _blank(ddl)
-    return runs.groupBy(RUN).cogroup(near.withColumnRenamed("run", RUN).groupBy(RUN)).applyInArrow(each, ddl)
+    return runs.groupBy(RUN).cogroup(near.withColumnRenamed("label", RUN).groupBy(RUN)).applyInArrow(each, ddl)
 
 
 def _blank(ddl: str) -> pa.Table:
