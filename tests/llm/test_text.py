@@ -27,7 +27,7 @@ def test_forms(stored, form):
 def test_null_and_idempotence():
     assert consistent_form(None) is None
     r = random.Random(1)
-    alphabet = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x370), *range(0x370, 0x530), *range(0x1100, 0x1120), *range(0x2000, 0x2070), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF60), 0x1D400, 0x1F600]]
+    alphabet = [chr(c) for c in [*range(0x20, 0x250), *range(0x300, 0x370), *range(0x370, 0x530), *range(0x1100, 0x1120), *range(0x2000, 0x2070), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF60), 0x1D400, 0x1F600, *range(0x1161, 0x1176), *range(0x11A8, 0x11B0), 0xFFA0, 0x845B, 0xE0100, 0xFE0E, 0xFE0F, 0x1F468, 0x1F3FB, 0x0915, 0x094D, 0x0645, 0x06CC, 0x180B]]
     for _ in range(2000):
         t = "".join(r.choices(alphabet, k=r.randint(0, 12)))
         f = consistent_form(t)
@@ -42,6 +42,59 @@ def test_tables_are_aligned_and_free_of_conflicts():
     assert transducer() is transducer()
 
 
+@pytest.mark.parametrize(
+    "stored,form",
+    [
+        ("\u03bd\u03b1\u03c1\u03c5", "vapu"), ("\u0585\u0555", "oO"), ("\u13aa\u13df", "AC"), ("\u2c9f", "o"), ("\u0251\u0261", "ag"), ("\u017ft\ufb06", "stst"), ("\u2163", "IV"), ("\u0474", "V"),
+        ("\u0131", "\u0131"),  # two letters of one script stay apart
+        ("a\u200cb\u200dc\ufe0f", "abc"), ("\u200d", ""), ("e\u200d\u0301", "\xe9"), ("\u1112\u200d\u1161", "\ud558"), ("e\u00ad\u0323\u0302", "\u1ec7"), ("\xea\u0323", "\u1ec7"), ("\u0430\u0302\u0301", "\u1ea5"),
+        ("q\u0307\u0323", "q\u0323\u0307"),  # accents without a composed letter are put in order
+    ],
+)
+def test_look_alikes_and_characters_without_width(stored, form):
+    assert consistent_form(stored) == form
+    assert consistent_form(form) == form
+
+
+@pytest.mark.parametrize(
+    "shown,other",
+    [
+        ("\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f468\U0001f469\U0001f467"),  # one family, three people
+        ("\u0600\u06dd", ""), ("\u263a\ufe0f", "\u263a"), ("\u263a\ufe0f", "\u263a\ufe0e"), ("1\ufe0f\u20e3", "1\u20e3"),
+        ("\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645", "\u0645\u06cc\u062e\u0648\u0627\u0647\u0645"), ("\u0915\u094d\u200d\u0937", "\u0915\u094d\u0937"),
+        ("\u845b\U000e0100", "\u845b"), ("\U0001f3f4\U000e0067\U000e007f", "\U0001f3f4"),
+    ],
+)
+def test_what_shows_is_kept(shown, other):
+    assert consistent_form(shown) == shown and consistent_form(other) == other
+
+
+def test_longest_match_and_conflicts(monkeypatch):
+    from tidewheel.llm import text_form
+
+    t = transducer()
+    assert t._match("a\u0302\u0301x", 0) == (3, "\u1ea5") and t._match("a\u0302\u0303x", 0)[0] == 3 and t._match("\r\nx", 0) == (2, "\n") and t._match("\rx", 0) == (1, "\n") and t._match("x", 0) == (1, "x")
+    monkeypatch.setitem(text_form.ALIKE, "Greek", ("AB", "\u0391\u0410"))  # Cyrillic A again, as B
+    with pytest.raises(text_form.Conflict):
+        Transducer()
+    monkeypatch.setitem(text_form.ALIKE, "Greek", ("AA", "\u0391\u0392"))  # two letters of a script fall together
+    with pytest.raises(text_form.Conflict):
+        Transducer()
+
+
+def test_stored_orders_of_accents_do_not_matter():
+    from itertools import permutations
+
+    r = random.Random(2)
+    composed = [chr(c) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x1F00, 0x1FFE)] if unicodedata.normalize("NFC", chr(c)) == chr(c)]
+    for _ in range(1500):
+        parts = unicodedata.normalize("NFD", r.choice(composed))
+        want = consistent_form(parts)
+        for marks in permutations(parts[1:]):
+            if unicodedata.normalize("NFD", parts[0] + "".join(marks)) == parts:
+                assert consistent_form("x" + parts[0] + "".join(marks) + "y") == "x" + want + "y"
+
+
 def test_words():
     assert words("It's 12,5 % of Ünder_score—Äh") == ["it", "s", "12", "5", "of", "ünder", "score", "äh"]
 

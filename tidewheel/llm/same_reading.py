@@ -63,17 +63,16 @@ def reading_classes(documents: DataFrame, ident: str, text: str) -> DataFrame:
 def same_reading_pairs(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of documents with the same consistent form and different stored texts.
 
-    Exact copies are no pairs with each other, so a class is paired by stored text first: only classes with two or more stored texts are looked at, and
-    each pair of stored texts is then expanded to the documents that hold them. No work grows with the square of a group of copies. Null texts take no
-    part; an empty table gives no rows.
+    Exact copies are no pairs with each other, so a class is paired by stored text first and each pair of stored texts is then expanded to the documents
+    that hold them; the work beyond hashing grows with the pairs that come out, which for k copies of one stored text and m of another are k x m
+    (``reading_classes`` has one row per document instead). Documents whose class has one stored text are dropped before any join, so one boilerplate text
+    on a third of all documents takes no part. Null texts take no part; an empty table gives no rows.
     """
     members = checkpoint(reading_keys(documents, ident, text))
     stored = members.groupBy("form_key", "text_key").agg(F.count(F.lit(1)).alias("n"))
     several = stored.groupBy("form_key").agg(F.count(F.lit(1)).alias("n_stored")).where("n_stored > 1").select("form_key")
-    texts = checkpoint(stored.join(several, "form_key", "left_semi").select("form_key", "text_key"))
-    a, b = texts.withColumnRenamed("text_key", "key_a"), texts.withColumnRenamed("text_key", "key_b")
-    pairs = a.join(b, "form_key").where("key_a < key_b").drop("form_key")
-    left = members.select(F.col("text_key").alias("key_a"), F.col(ident).alias("a"))
-    right = members.select(F.col("text_key").alias("key_b"), F.col(ident).alias("b"))
-    found = pairs.join(left, "key_a").join(right, "key_b")
+    inside = checkpoint(members.join(several, "form_key", "left_semi").select(F.col(ident).alias("id"), "form_key", "text_key"))
+    texts = inside.select("form_key", "text_key").distinct()
+    pairs = texts.withColumnRenamed("text_key", "key_a").join(texts.withColumnRenamed("text_key", "key_b"), "form_key").where("key_a < key_b").drop("form_key")
+    found = pairs.join(inside.select(F.col("text_key").alias("key_a"), F.col("id").alias("a")), "key_a").join(inside.select(F.col("text_key").alias("key_b"), F.col("id").alias("b")), "key_b")
     return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
