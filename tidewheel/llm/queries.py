@@ -34,11 +34,13 @@ def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
     return reading_classes(table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _long_tags(df: DataFrame, tags: list[str], *keep: str) -> DataFrame:
-    """A row per tag of interest, and one for the whole (tag and tag_value null)."""
-    pairs = [F.struct(F.lit(t).alias("tag"), F.try_element_at("tags", F.lit(t)).alias("tag_value")) for t in tags]
-    whole = F.struct(F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("tag_value"))
-    return df.select(*keep, F.inline(F.array(*pairs, whole)))
+def _tags(names: list[str]) -> list[Column]:
+    return [F.try_element_at("tags", F.lit(t)).alias(t) for t in names]
+
+
+def _by_tag(sketches: DataFrame) -> DataFrame:
+    """Tag and tag_value, both null for the whole."""
+    return sketches.withColumnRenamed("facet", "tag").withColumnRenamed("facet_value", "tag_value")
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -51,36 +53,36 @@ PROBS = [0.5, 0.9, 0.99]
 
 def sample_sketches(spark: SparkSession, sf: str) -> DataFrame:
     name = F.coalesce(F.col("__name__"), F.try_element_at("tags", F.lit("__name__"))).alias("metric_name")
-    rows = _long_tags(table(spark, sf, "samples").select(name, "tags", "value"), ["service", "region", "env", "instance"], "metric_name", "value")
-    return build_sketches(rows, ["metric_name", "tag", "tag_value"], "value")
+    tags = ["service", "region", "env", "instance"]
+    rows = table(spark, sf, "samples").select(name, *_tags(tags), "value")
+    built = _by_tag(build_sketches(rows, ["metric_name"], "value", facets=tags))
+    return merge_sketches(built, ["metric_name", "tag", "tag_value"], tasks=rows.rdd.getNumPartitions())
 
 
 def p2_sample_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Median and high percentiles of samples per metric name and tag, with the error stated."""
-    keys = ["metric_name", "tag", "tag_value"]
-    return _spread(sketch_quantiles(merge_sketches(sample_sketches(spark, sf), keys), keys, PROBS))
+    return _spread(sketch_quantiles(sample_sketches(spark, sf), ["metric_name", "tag", "tag_value"], PROBS))
 
 
 def day_sketches(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "unaggregated")
     name = F.coalesce(F.col("__name__"), F.split_part("id", F.lit("+"), F.lit(1))).alias("metric_name")
     values = F.when(F.col("type") == "timer", F.col("batch_timer")).when(F.col("type") == "gauge", F.array("gauge_val")).when(F.col("type") == "counter", F.array(F.col("counter_val").cast("double")))
-    rows = t.select(name, "type", F.to_date("timestamp").cast("string").alias("day"), "tags", F.explode(values).alias("value"))
-    rows = _long_tags(rows, ["app", "region", "client"], "metric_name", "type", "day", "value")
-    return build_sketches(rows, ["metric_name", "type", "day", "tag", "tag_value"], "value")
+    tags = ["app", "region", "client"]
+    rows = t.select(name, "type", F.to_date("timestamp").cast("string").alias("day"), *_tags(tags), F.explode(values).alias("value"))
+    built = _by_tag(build_sketches(rows, ["metric_name", "type", "day"], "value", facets=tags))
+    return merge_sketches(built, ["metric_name", "type", "day", "tag", "tag_value"], tasks=rows.rdd.getNumPartitions())
 
 
 def p2_day_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles of timers, gauges and counters per name, tag and day."""
-    keys = ["metric_name", "type", "day", "tag", "tag_value"]
-    return _spread(sketch_quantiles(merge_sketches(day_sketches(spark, sf), keys), keys, PROBS))
+    """Percentiles of timers, gauges and counters per name, tag and day. Nearly all groups are a client's few values: small ones are read off."""
+    return _spread(sketch_quantiles(day_sketches(spark, sf), ["metric_name", "type", "day", "tag", "tag_value"], PROBS, exact_small=True))
 
 
 def p2_week_from_days(spark: SparkSession, sf: str) -> DataFrame:
     """The days' sketches added up to the whole week, per name and tag."""
-    days = merge_sketches(day_sketches(spark, sf), ["metric_name", "type", "day", "tag", "tag_value"])
     keys = ["metric_name", "type", "tag", "tag_value"]
-    return _spread(sketch_quantiles(merge_sketches(days, keys), keys, PROBS))
+    return _spread(sketch_quantiles(merge_sketches(day_sketches(spark, sf), keys), keys, PROBS, exact_small=True))
 
 
 def _or_none(tag: str) -> Column:
