@@ -86,8 +86,15 @@ def matches(value: Column, m: Matcher) -> Column:
 
 
 def label_key(labels: Column) -> Column:
-    """A text that is equal for equal label sets, whatever the order of entries."""
-    return F.concat_ws("\x01", F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat_ws("\x02", e["key"], e["value"])))
+    """A text that is equal for equal label sets, whatever the order of entries. A null or empty label counts as absent."""
+    entries = F.filter(F.array_sort(F.map_entries(labels)), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.concat_ws("\x01", F.transform(entries, lambda e: F.concat_ws("\x02", e["key"], e["value"])))
+
+
+def series_id(*parts: Column) -> Column:
+    """128 bits that stand for a series: two hashes of its label values in order, null (absent) counting as the empty text in its own place."""
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.struct(F.xxhash64(*texts).alias("a"), F.xxhash64(F.lit(1), *texts).alias("b"))
 
 
 def series_text(labels: Column) -> Column:
@@ -158,9 +165,9 @@ class SeriesSource:
         else:
             rows = rows.where(keep)
             if self.columns is not None:
-                sid = F.xxhash64(*(F.col(f"`{c}`") for c in self.columns.values()))
+                sid = series_id(*(F.col(f"`{c}`") for c in self.columns.values()))
             else:
-                sid = F.xxhash64(label_key(self._labels()))
+                sid = series_id(label_key(self._labels()))
             raw = rows.select(sid.alias("sid"), "ts", "value")
             grouping = rows.select(sid.alias("sid"), *({f"`{c}`" for c in self.columns.values()} if self.columns is not None else ["labels"]))
             dim = grouping.dropDuplicates(["sid"]).select("sid", self._labels().alias("labels"))
@@ -193,7 +200,7 @@ def fan_out(stores: list[SeriesSource], matchers: list[Matcher], low: int | None
         return parts[0]
     keyed = []
     for i, (raw, dim) in enumerate(parts):
-        key = dim.select("sid", F.xxhash64(label_key(F.col("labels"))).alias("key"), "labels")
+        key = dim.select("sid", series_id(label_key(F.col("labels"))).alias("key"), "labels")
         keyed.append((raw.join(key.select("sid", "key"), "sid").select(F.col("key").alias("sid"), "ts", "value", F.lit(i).alias("store")), key.select(F.col("key").alias("sid"), "labels")))
     rows = reduce(DataFrame.unionByName, [r for r, _ in keyed])
     dims = reduce(DataFrame.unionByName, [d for _, d in keyed]).dropDuplicates(["sid"])

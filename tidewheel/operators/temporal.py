@@ -77,6 +77,25 @@ def _decomposed(raw: DataFrame, grid: Grid, width: int, name: str) -> DataFrame:
     return merged.select("sid", "k", value().alias("value"))
 
 
+def _moments(raw: DataFrame, grid: Grid, width: int) -> DataFrame:
+    """Count, means and central moments of time (seconds from the grid's start) and value in each window: n, mt, mv, tt, tv, vv.
+
+    Samples are reduced to moments by the run of steps they belong to; a window's few states (two for each step that its width spans) are combined about
+    their common mean, so nothing cancels.
+    """
+    t = (F.col("ts") - grid.start) / SECOND
+    v = F.col("value")
+    partial = _covered(raw, grid, width).groupBy("sid", "k_lo", "k_hi").agg(F.count(v).alias("n"), F.avg(t).alias("mt"), F.avg(v).alias("mv"), F.regr_sxx(v, t).alias("tt"), F.regr_sxy(v, t).alias("tv"), F.regr_syy(v, t).alias("vv"))
+    states = _on_steps(partial).groupBy("sid", "k").agg(F.collect_list(F.struct("n", "mt", "mv", "tt", "tv", "vv")).alias("s"), F.sum("n").alias("n"))
+
+    def total(f: Callable[[Column], Column]) -> Column:
+        return F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x))
+
+    means = states.withColumn("mt", total(lambda x: x["n"] * x["mt"]) / F.col("n")).withColumn("mv", total(lambda x: x["n"] * x["mv"]) / F.col("n"))
+    off = {"t": lambda x: x["mt"] - F.col("mt"), "v": lambda x: x["mv"] - F.col("mv")}
+    return means.select("sid", "k", "n", "mt", "mv", *(total(lambda x, a=a, b=b: x[a + b] + x["n"] * off[a](x) * off[b](x)).alias(a + b) for a, b in ("tt", "tv", "vv")))
+
+
 def _direct(raw: DataFrame, grid: Grid, width: int, value: Column) -> DataFrame:
     """For functions of all samples of the window: ``value`` is an aggregate over ts, value and t (the step's time)."""
     each = _on_steps(_covered(raw, grid, width)).withColumn("t", F.col("k") * grid.step + grid.start)
@@ -164,19 +183,20 @@ def _quantile(q: float) -> Column:
 
 def over_time(raw: DataFrame, dim: DataFrame, grid: Grid, width: int, name: str, *args: float) -> DataFrame:
     """A range-vector function by name; a step without enough samples has no row."""
-    seconds = (F.col("ts") - F.col("t")) / SECOND
-    several = F.count(F.lit(1)) > 1
     if name in _DECOMPOSED:
         values = _decomposed(raw, grid, width, name)
-    elif name in ("stddev_over_time", "stdvar_over_time"):
-        f = F.stddev_pop if name.startswith("stddev") else F.var_pop
-        values = _direct(raw, grid, width, F.when(several, f("value")))
+    elif name in ("stddev_over_time", "stdvar_over_time", "deriv", "predict_linear"):
+        variance = F.col("vv") / F.col("n")
+        slope = F.col("tv") / F.when(F.col("tt") != 0, F.col("tt"))
+        value = {
+            "stdvar_over_time": lambda: variance,
+            "stddev_over_time": lambda: F.sqrt(variance),
+            "deriv": lambda: slope,
+            "predict_linear": lambda: F.col("mv") + slope * (F.col("k") * grid.step / SECOND + args[0] - F.col("mt")),
+        }[name]()
+        values = _moments(raw, grid, width).where("n > 1").select("sid", "k", value.alias("value"))
     elif name == "quantile_over_time":
         values = _direct(raw, grid, width, _quantile(args[0]))
-    elif name == "deriv":
-        values = _direct(raw, grid, width, F.when(several, F.regr_slope(F.col("value"), seconds)))
-    elif name == "predict_linear":
-        values = _direct(raw, grid, width, F.when(several, F.regr_slope(F.col("value"), seconds) * args[0] + F.regr_intercept(F.col("value"), seconds)))
     elif name == "holt_winters":
         values = _direct(raw, grid, width, _holt_winters(*args))
     else:

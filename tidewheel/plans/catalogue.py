@@ -24,7 +24,8 @@ from tidewheel.sources import index, ingest, namespaces, render
 
 DAY = 86400
 START = 1_704_067_200  # 2024-01-01 UTC
-DAYS = 30
+#: Daily steps from the first midnight to the one after the last event, so that windows that end at the steps take in every event.
+DAYS = 31
 GRID = Grid.seconds(START, START + (DAYS - 1) * DAY, DAY)
 WEEK = 1_714_953_600  # 2024-05-06 UTC
 
@@ -121,6 +122,17 @@ promql("sel_nre", 'events{event_type!~"c.*|view"}', f"WITH {V} {out('x', FULL, '
 promql("sel_missing", 'events{nosuch="",event_type=~".+"}', f"WITH {V} {out('x', FULL, 'v')}")
 promql("align_lookback", "events", f"WITH {V} {out('x', FULL, 'v')}")
 promql("offset", "events offset 2d", f"WITH {E}, {G}, v AS (SELECT event_type, user_id, step, arg_max(v, t) AS x FROM e JOIN g ON t BETWEEN step - {3 * DAY}000000 AND step - {2 * DAY}000000 GROUP BY ALL) {out('x', FULL, 'v')}")
+
+
+def sparse_types(spark: SparkSession, sf: str) -> SeriesSource:
+    """Events with a label by type and one by user of which each series has only one, the other null."""
+    rows = event_rows(spark, sf)
+    kind = F.when(F.col("event_type") == "click", F.concat(F.lit("u"), "user_id"))
+    return SeriesSource(rows.select("ts", "value", kind.alias("clicker"), F.when(kind.isNull(), F.concat(F.lit("u"), "user_id")).alias("other")), {"clicker": "clicker", "other": "other"}, name="events")
+
+
+promql("sel_null_labels", "sum_over_time(events[3d])", f"""WITH {E}, {G}, r AS (SELECT CASE WHEN event_type = 'click' THEN 'clicker' ELSE 'other' END AS label, user_id, step, v FROM e JOIN g ON t BETWEEN step - {3 * DAY}000000 AND step)
+    {out('sum(v)', "'{' || label || '=\"u' || user_id || '\"}'", 'r', 'GROUP BY label, user_id, step')}""", sparse_types)
 promql("time_fn", "time()", f"WITH {G} {out('step / 1e6', "'{}'", 'g')}")
 promql("vector_fn", "vector(7)", f"WITH {G} {out('7.0', "'{}'", 'g')}")
 
@@ -587,7 +599,7 @@ SQL["json_lines"] = SQL["carbon_lines"]
 
 
 def lttb_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Down-sampling for display: 20 of 30 points of each event type."""
+    """Down-sampling for display: 20 of the 31 points of each event type."""
     x = Engine(types(spark, sf), lookback=DAY * SECOND).query_range("sum_over_time(kinds[1d])", START, START + (DAYS - 1) * DAY, DAY)
     return render.lttb(shown(x), ["series"], "step", "value", 20)
 

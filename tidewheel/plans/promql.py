@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import num
 from tidewheel.operators import temporal, vectors
-from tidewheel.operators.frames import SECOND, Grid, SeriesSource, label_key, series_text
+from tidewheel.operators.frames import Grid, SECOND, SeriesSource, label_key, series_id, series_text
 from tidewheel.plans import promql_parser as p
 
 LOOKBACK = 300 * SECOND
@@ -157,7 +157,7 @@ class Engine:
                 first = -((width - at.start) // step) * step
                 fine = Grid(first, max(first, at.end // step * step), step)
                 points = self._frame(self.plan(inner, fine), fine)
-                keyed = points.withColumn("sid", F.xxhash64(label_key(F.col("labels"))))
+                keyed = points.withColumn("sid", series_id(label_key(F.col("labels"))))
                 raw = keyed.select("sid", F.col("step").alias("ts"), "value").where("not isnan(value)")
                 return raw, keyed.select("sid", "labels").dropDuplicates(["sid"]), at, width
         raise PlanError("a range is needed here")
