@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.text_form import transducer, words
-from tidewheel.session import checkpoint, ship
+from tidewheel.session import ship
 
 #: Words of test passages that are held at once; a larger set is searched in several blocks of passages.
 BLOCK_WORDS = 2_000_000
@@ -23,7 +23,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class PassageIndex:
-    """Distinct passages of a block of items as word numbers, and their n-grams."""
+    """Distinct passages of a block of items as word numbers, and their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.n = n
@@ -33,7 +33,7 @@ class PassageIndex:
         at: dict[tuple[int, ...], int] = {}
         for item, passage in items:
             ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(transducer().form(passage)))
-            if len(ids) < n:
+            if not ids:
                 continue
             if ids not in at:
                 at[ids] = len(self.passages)
@@ -41,30 +41,49 @@ class PassageIndex:
                 self.items.append([])
             self.items[at[ids]].append(item)
         self.longest = max(map(len, self.passages), default=0)
-        per = [self.hashes(p.astype(np.uint64)) for p in self.passages]
-        self.grams = np.unique(np.concatenate(per)) if per else np.empty(0, np.uint64)
-        #: number of the n-gram at each place of each passage
-        self.places = [np.searchsorted(self.grams, h) for h in per]
+        #: sizes of seeds: n words, and the whole of each passage that has fewer
+        self.sizes = sorted({min(n, len(p)) for p in self.passages})
+        self.seeds: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for size in self.sizes:
+            mine = [i for i, p in enumerate(self.passages) if min(n, len(p)) == size]
+            per = [np.unique(self.hashes(self.passages[i].astype(np.uint64), size)) for i in mine]
+            grams, of = np.unique(np.concatenate(per), return_inverse=True)
+            passages: list[list[int]] = [[] for _ in grams]
+            for g, i in zip(of.tolist(), np.repeat(mine, list(map(len, per))).tolist()):
+                passages[g].append(i)
+            self.seeds[size] = grams, passages
         #: distinct words of each passage and how often it has them
         self.content = [np.unique(p, return_counts=True) for p in self.passages]
 
-    def hashes(self, ids: np.ndarray) -> np.ndarray:
-        """Hash of the n-gram that starts at each place."""
-        k = len(ids) - self.n + 1
+    @staticmethod
+    def hashes(ids: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the run of ``size`` words that starts at each place."""
+        k = len(ids) - size + 1
         h = np.zeros(max(k, 0), np.uint64)
-        for j in range(self.n):
+        for j in range(size):
             h = (h + ids[j : j + len(h)]) * _MULTIPLIER
             h ^= h >> np.uint64(29)
         return h
 
-    def seeds(self, found: dict[int, int], run: int | None = None) -> dict[int, list[int]]:
-        """Seed n-grams with the passages they occur in: all that occur in the corpus, whatever ``run`` is, as an edited copy may keep any of them."""
-        out: dict[int, list[int]] = defaultdict(list)
-        for p, grams in enumerate(self.places):
-            for g in set(grams.tolist()):
-                if found.get(g, 0):
-                    out[g].append(p)
-        return dict(out)
+    def hits(self, ids: np.ndarray, known_until: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Places in joined texts (``ends`` of each) where a seed stands, its size and the passages that have it, by place."""
+        at, size, passages = [], [], []
+        wide = ids.astype(np.uint64)
+        for k, (grams, having) in self.seeds.items():
+            start = np.flatnonzero(known_until[k:] - known_until[:-k] == k) if len(ids) >= k else np.empty(0, np.int64)
+            start = start[start + k <= ends[np.searchsorted(ends, start, side="right")]] if len(start) else start
+            h = np.zeros(len(start), np.uint64)
+            for j in range(k):
+                h = (h + wide[start + j]) * _MULTIPLIER
+                h ^= h >> np.uint64(29)
+            g = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
+            found = grams[g] == h
+            at.append(start[found])
+            size.append(np.full(int(found.sum()), k))
+            passages += [having[x] for x in g[found].tolist()]
+        where, sizes = np.concatenate(at), np.concatenate(size)
+        order = np.argsort(where, kind="stable")
+        return where[order], sizes[order], [passages[i] for i in order.tolist()]
 
     def common(self, passage: int, have: np.ndarray, times: np.ndarray) -> int:
         """Words of a passage that other text with the (sorted) words ``have`` can match at most, each used as often as it occurs."""
@@ -106,60 +125,75 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
     """Documents with (parts of) test passages: doc, item, longest_run, score_share, n_seeds.
 
     ``longest_run`` is the number of consecutive words shared, ``score_share`` the local alignment's score as a share of a perfect copy's. A row comes
-    out if the run is at least ``run`` or the share at least ``min_share``, which also finds edited and paraphrased copies that keep one n-gram.
-    ``n_seeds`` is the number of places in the document's words around it with an n-gram of the passage.
+    out if the run is at least ``run`` or the share at least ``min_share``, which also finds edited and paraphrased copies that keep ``n`` words in a row.
+    ``n_seeds`` is the number of places in the document's words around it with a seed of the passage. Of a passage with fewer than ``n`` words the whole is
+    the seed, so it is found where it stands unchanged.
 
-    Words are runs of letters and digits, in lower case, of the consistent form; n-grams have ``n`` words. Null or empty texts, null ids and passages
-    of fewer than ``n`` words give no rows; items with the same passage each get a row; a repeated document id counts once; empty tables give no rows.
+    Words are runs of letters and digits, in lower case, of the consistent form. Null texts, texts and passages without words and null ids give no rows;
+    items with the same passage each get a row; a repeated document id counts once; empty tables give no rows.
 
-    Scale: one pass over the corpus without any shuffle keeps only windows of words around n-grams of the passages. Every n-gram
-    of a passage that occurs there is a seed. Of the pairs of window and passage that share one, those are aligned which can reach ``run`` (by the number
-    of seeds) or ``min_share`` (by the words they have in common); the bounds lose no row. The passages are held in blocks of ``BLOCK_WORDS`` words.
+    Scale: one pass over the corpus without any shuffle but that of the rows found. Every n-gram of a passage is a seed, as an edited copy may keep any of
+    them. Around seeds, windows of words are cut out; of the pairs of window and passage that share a seed, those are aligned which can reach ``run`` (by
+    the number of seeds) or ``min_share`` (by the words they have in common); the bounds lose no row. The passages are broadcast in blocks of
+    ``BLOCK_WORDS`` words, each block with a pass of its own.
     """
     ship(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
     corpus = documents.select(F.col(f"`{doc}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).where("doc is not null and text is not null")
-    window_ddl = "doc bigint, words array<int>, grams array<int>"
-    out_ddl = "doc bigint, item bigint, longest_run int, score_share double, n_seeds int"
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
         index = sc.broadcast(PassageIndex(block, n))
 
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x = index.value
-            get, form = x.vocabulary.get, transducer().form
-            if not len(x.grams):
+        def windows(docs: list[int], sizes: list[int], ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]:
+            """Stretches of words around seeds, with the passages of each seed."""
+            x, ends = index.value, np.cumsum(sizes)
+            at, size, passages = x.hits(ids, np.cumsum(np.r_[0, ids > 0]), ends)
+            if not len(at):
                 return
+            of = np.searchsorted(ends, at, side="right")
+            far = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] - at[:-1] > 2 * x.longest + n)) + 1
+            for a, b in zip(np.r_[0, far].tolist(), np.r_[far, len(at)].tolist()):
+                d = int(of[a])
+                yield docs[d], ids[max(int(ends[d]) - sizes[d], int(at[a]) - x.longest) : min(int(ends[d]), int((at[a:b] + size[a:b]).max()) + x.longest)], passages[a:b]
 
-            def look(docs: list[int], sizes: list[int], ids: list[int]) -> pa.RecordBatch:
-                ids_ = np.array(ids, np.int32)
-                known = ids_ > 0
-                stretch = np.cumsum(np.r_[0, known])
-                full = stretch[n:] - stretch[:-n] == n if len(ids_) >= n else np.zeros(0, bool)
-                at = np.flatnonzero(full)
-                ends = np.cumsum(sizes)
-                of = np.searchsorted(ends, at, side="right")
-                inside = at + n <= ends[of] if len(at) else np.zeros(0, bool)
-                at, of = at[inside], of[inside]
-                h = np.zeros(len(at), np.uint64)
-                wide = ids_.astype(np.uint64)
-                for j in range(n):
-                    h = (h + wide[at + j]) * _MULTIPLIER
-                    h ^= h >> np.uint64(29)
-                g = np.minimum(np.searchsorted(x.grams, h), len(x.grams) - 1)
-                hit = x.grams[g] == h
-                at, of, g = at[hit], of[hit], g[hit]
-                rows: tuple[list, list, list] = ([], [], [])
-                if len(at):
-                    far = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] - at[:-1] > 2 * x.longest + n)) + 1
-                    for a, b in zip(np.r_[0, far], np.r_[far, len(at)]):
-                        d = of[a]
-                        low = max(int(ends[d] - sizes[d]), int(at[a]) - x.longest)
-                        rows[0].append(docs[d])
-                        rows[1].append(ids_[low : min(int(ends[d]), int(at[b - 1]) + n + x.longest)])
-                        rows[2].append(g[a:b].astype(np.int32))
-                return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.list_(pa.int32()))], ["doc", "words", "grams"])
-
+        def score(docs: list[int], sizes: list[int], ids: list[int]) -> pa.RecordBatch:
+            x = index.value
+            wanted: dict[int, list[tuple[int, np.ndarray, int]]] = defaultdict(list)
+            for d, own, seeds in windows(docs, sizes, np.array(ids, np.int32)):
+                hits: dict[int, int] = defaultdict(int)
+                for passages in seeds:
+                    for p in passages:
+                        hits[p] += 1
+                have, times = np.unique(own, return_counts=True)
+                for p, k in hits.items():
+                    if k > run - n or x.common(p, have, times) >= min_share * len(x.passages[p]):
+                        wanted[p].append((d, own, k))
+            rows: list[tuple] = []
+            for p, group in wanted.items():
+                group.sort(key=lambda r: len(r[1]))
+                perfect = MATCH * len(x.passages[p])
+                at = 0
+                while at < len(group):  # windows of similar length together
+                    upto = at + 1
+                    while upto < len(group) and len(group[upto][1]) <= 1.5 * len(group[at][1]) + 16 and (upto - at) * len(group[upto][1]) < 1 << 18:
+                        upto += 1
+                    part = group[at:upto]
+                    padded = np.zeros((len(part), len(part[-1][1])), np.int32)
+                    for i, (_, own, _k) in enumerate(part):
+                        padded[i, : len(own)] = own
+                    best, longest = align(x.passages[p], padded)
+                    for (d, _, k), s, r in zip(part, best.tolist(), longest.tolist()):
+                        if r >= run or s >= min_share * perfect:
+                            rows += [(d, i, r, s / perfect, k) for i in x.items[p]]
+                    at = upto
+            c = list(zip(*rows)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()))], ["doc", "item", "longest_run", "score_share", "n_seeds"])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = index.value
+            if not x.passages:
+                return
+            get, form = x.vocabulary.get, transducer().form
             docs, sizes, ids = [], [], []
             for b in batches:
                 for d, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -168,53 +202,12 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
                     sizes.append(len(found))
                     ids += found
                     if len(ids) >= CHUNK:
-                        yield look(docs, sizes, ids)
+                        yield score(docs, sizes, ids)
                         docs, sizes, ids = [], [], []
             if docs:
-                yield look(docs, sizes, ids)
+                yield score(docs, sizes, ids)
 
-        near = checkpoint(corpus.mapInArrow(windows, window_ddl))
-        counted = {r["g"]: r["n"] for r in near.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-        seeds = sc.broadcast(index.value.seeds(counted, run))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, seed = index.value, seeds.value
-            for b in batches:
-                wanted: dict[int, list[tuple[int, np.ndarray, int]]] = defaultdict(list)
-                for d, w, g in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                    hits: dict[int, int] = defaultdict(int)
-                    for gram in g.values.to_numpy():
-                        for p in seed.get(int(gram), ()):
-                            hits[p] += 1
-                    if hits:
-                        ids = w.values.to_numpy()
-                        have, times = np.unique(ids, return_counts=True)
-                        for p, k in hits.items():
-                            if k > run - n or x.common(p, have, times) >= min_share * len(x.passages[p]):
-                                wanted[p].append((d, ids, k))
-                rows: list[tuple] = []
-                for p, group in wanted.items():
-                    group.sort(key=lambda r: len(r[1]))
-                    perfect = MATCH * len(x.passages[p])
-                    at = 0
-                    while at < len(group):  # windows of similar length together
-                        upto = at + 1
-                        while upto < len(group) and len(group[upto][1]) <= 1.5 * len(group[at][1]) + 16 and (upto - at) * len(group[upto][1]) < 1 << 18:
-                            upto += 1
-                        part = group[at:upto]
-                        padded = np.zeros((len(part), len(part[-1][1])), np.int32)
-                        for i, (_, ids, _k) in enumerate(part):
-                            padded[i, : len(ids)] = ids
-                        best, longest = align(x.passages[p], padded)
-                        for (d, _, k), s, r in zip(part, best.tolist(), longest.tolist()):
-                            if r >= run or s >= min_share * perfect:
-                                rows += [(d, i, r, s / perfect, k) for i in x.items[p]]
-                        at = upto
-                if rows:
-                    c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.float64()), pa.array(c[4], pa.int32())], ["doc", "item", "longest_run", "score_share", "n_seeds"])
-
-        return near.mapInArrow(score, out_ddl)
+        return corpus.mapInArrow(scan, "doc bigint, item bigint, longest_run int, score_share double, n_seeds int")
 
     found = [search(b) for b in _blocks(items, item, passage)]
     if not found:
