@@ -121,7 +121,7 @@ def _blocks(items: DataFrame, ident: str, passage: str) -> Iterator[list[tuple[i
         yield block
 
 
-def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, *, n: int = 6, run: int = 12, min_share: float = 0.5) -> DataFrame:
+def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, *, n: int = 4, run: int = 12, min_share: float = 0.5) -> DataFrame:
     """Documents with (parts of) test passages: doc, item, longest_run, score_share, n_seeds.
 
     ``longest_run`` is the number of consecutive words shared, ``score_share`` the local alignment's score as a share of a perfect copy's. A row comes
