@@ -269,6 +269,19 @@ def test_seeds_are_all_grams_and_whole_short_passages():
     assert len(index.hits(ids, np.cumsum(np.r_[0, ids > 0]), np.array([3, 10, 13]))[0]) == 0
 
 
+def test_words_in_order_bound_every_alignment():
+    r = random.Random(6)
+    for _ in range(60):
+        p, w = ([r.choice("abcdef") for _ in range(r.randint(1, 90))] for _ in range(2))
+        index = PassageIndex([(1, " ".join(p))], 4)
+        table = [[0] * (len(w) + 1) for _ in range(len(p) + 1)]
+        for i, a in enumerate(p):
+            for j, b in enumerate(w):
+                table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+        got = index.in_order(0, [index.vocabulary.get(x, 0) for x in w])
+        assert got == table[-1][-1] and 2 * got >= plain_alignment(p, w)
+
+
 def test_short_passage_is_found_whole(spark):
     d = spark.createDataFrame([(1, "so Bright a day"), (2, "bright day"), (3, "ends bright a"), (4, "bright a day bright a day")], "doc_id bigint, text string")
     e = spark.createDataFrame([(7, "bright a day"), (8, "..."), (9, "day")], "item_id bigint, passage string")

@@ -52,8 +52,13 @@ class PassageIndex:
             for g, i in zip(of.tolist(), np.repeat(mine, list(map(len, per))).tolist()):
                 passages[g].append(i)
             self.seeds[size] = grams, passages
-        #: distinct words of each passage and how often it has them
-        self.content = [np.unique(p, return_counts=True) for p in self.passages]
+        #: for each passage, the places of each of its words as bits
+        self.bits: list[dict[int, int]] = []
+        for p in self.passages:
+            places: dict[int, int] = {}
+            for i, w in enumerate(p.tolist()):
+                places[w] = places.get(w, 0) | 1 << i
+            self.bits.append(places)
 
     @staticmethod
     def hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -85,11 +90,15 @@ class PassageIndex:
         order = np.argsort(where, kind="stable")
         return where[order], sizes[order], [passages[i] for i in order.tolist()]
 
-    def common(self, passage: int, have: np.ndarray, times: np.ndarray) -> int:
-        """Words of a passage that other text with the (sorted) words ``have`` can match at most, each used as often as it occurs."""
-        own, counts = self.content[passage]
-        at = np.minimum(np.searchsorted(have, own), len(have) - 1)
-        return int(np.minimum(counts, np.where(have[at] == own, times[at], 0)).sum())
+    def in_order(self, passage: int, other: list[int]) -> int:
+        """Words that a passage and other text have in common in the same order, at most: their longest common subsequence, by bits."""
+        bits, full = self.bits[passage], (1 << len(self.passages[passage])) - 1
+        open_ = full
+        for w in other:
+            if w in bits:
+                taken = open_ & bits[w]
+                open_ = (open_ + taken | open_ - taken) & full
+        return (~open_ & full).bit_count()
 
 
 def align(passage: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +143,7 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
 
     Scale: one pass over the corpus without any shuffle but that of the rows found. Every n-gram of a passage is a seed, as an edited copy may keep any of
     them. Around seeds, windows of words are cut out; of the pairs of window and passage that share a seed, those are aligned which can reach ``run`` (by
-    the number of seeds) or ``min_share`` (by the words they have in common); the bounds lose no row. The passages are broadcast in blocks of
+    the seeds in a row) or ``min_share`` (by the words they have in common in the same order); the bounds lose no row. The passages are broadcast in blocks of
     ``BLOCK_WORDS`` words, each block with a pass of its own.
     """
     ship(documents.sparkSession)
@@ -144,8 +153,8 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
     def search(block: list[tuple[int, str]]) -> DataFrame:
         index = sc.broadcast(PassageIndex(block, n))
 
-        def windows(docs: list[int], sizes: list[int], ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[list[int]]]]:
-            """Stretches of words around seeds, with the passages of each seed."""
+        def windows(docs: list[int], sizes: list[int], ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[int], list[list[int]]]]:
+            """Stretches of words around seeds, with the places and passages of the seeds."""
             x, ends = index.value, np.cumsum(sizes)
             at, size, passages = x.hits(ids, np.cumsum(np.r_[0, ids > 0]), ends)
             if not len(at):
@@ -154,19 +163,22 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
             far = np.flatnonzero((of[1:] != of[:-1]) | (at[1:] - at[:-1] > 2 * x.longest + n)) + 1
             for a, b in zip(np.r_[0, far].tolist(), np.r_[far, len(at)].tolist()):
                 d = int(of[a])
-                yield docs[d], ids[max(int(ends[d]) - sizes[d], int(at[a]) - x.longest) : min(int(ends[d]), int((at[a:b] + size[a:b]).max()) + x.longest)], passages[a:b]
+                yield docs[d], ids[max(int(ends[d]) - sizes[d], int(at[a]) - x.longest) : min(int(ends[d]), int((at[a:b] + size[a:b]).max()) + x.longest)], at[a:b].tolist(), passages[a:b]
 
         def score(docs: list[int], sizes: list[int], ids: list[int]) -> pa.RecordBatch:
             x = index.value
             wanted: dict[int, list[tuple[int, np.ndarray, int]]] = defaultdict(list)
-            for d, own, seeds in windows(docs, sizes, np.array(ids, np.int32)):
-                hits: dict[int, int] = defaultdict(int)
-                for passages in seeds:
+            for d, own, places, seeds in windows(docs, sizes, np.array(ids, np.int32)):
+                hits: dict[int, list[int]] = {}  # of each passage: seeds, the last one's place, seeds in a row up to it, most in a row
+                for at, passages in zip(places, seeds):
                     for p in passages:
-                        hits[p] += 1
-                have, times = np.unique(own, return_counts=True)
-                for p, k in hits.items():
-                    if k > run - n or x.common(p, have, times) >= min_share * len(x.passages[p]):
+                        h = hits.setdefault(p, [0, -2, 0, 0])
+                        h[0] += 1
+                        h[2] = h[2] + 1 if h[1] == at - 1 else 1
+                        h[1], h[3] = at, max(h[3], h[2])
+                listed = own.tolist()
+                for p, (k, _, _, row) in hits.items():
+                    if row > run - n or x.in_order(p, listed) >= min_share * len(x.passages[p]):
                         wanted[p].append((d, own, k))
             rows: list[tuple] = []
             for p, group in wanted.items():
