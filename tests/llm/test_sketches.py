@@ -238,11 +238,21 @@ def test_same_seed_same_choice_and_empty(spark, mixed):
     assert mix_sources(docs, "doc_id", "text", "source", targets.limit(0), TOKENIZER).agg(F.sum("copies")).first()[0] == 0
 
 
+def test_conflicting_targets_and_missing_vocabulary(spark, mixed):
+    docs, targets = mixed
+    again = targets.unionByName(targets.limit(1))
+    assert mix_sources(docs, "doc_id", "text", "source", again, TOKENIZER).count() == docs.count()
+    with pytest.raises(ValueError, match="two different targets"):
+        mix_sources(docs, "doc_id", "text", "source", targets.unionByName(targets.withColumn("max_repeats", F.col("max_repeats") + 1)), TOKENIZER)
+    with pytest.raises(FileNotFoundError):
+        token_sizes(docs, "doc_id", "text", "source", "/nowhere/vocabulary")
+
+
 def test_token_sizes(spark, mixed):
-    from tidewheel.llm.mixing import _encoding
+    from tidewheel.llm.mixing import _encoding, _shipped
 
     docs, _ = mixed
-    enc = _encoding(TOKENIZER)
+    enc = _encoding(_shipped(spark, TOKENIZER))
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in token_sizes(docs, "doc_id", "text", "source", TOKENIZER).collect():
         assert r["tokens"] == (0 if text[r["doc_id"]] is None else len(enc.encode_ordinary(text[r["doc_id"]])))

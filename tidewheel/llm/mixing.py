@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.session import checkpoint, ship
+from tidewheel.session import checkpoint, join_dimension, ship
 
 # Fixed value: the split pattern of the public byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,20 +22,30 @@ FAN_IN = 64
 
 
 @cache
-def _encoding(path: str):
+def _encoding(name: str):
+    """The tokenizer of a vocabulary file that was shipped under this name."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
     return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Send the vocabulary file from the driver to every executor; its name there."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"the tokenizer's vocabulary file {path} isn't on the driver")
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def token_sizes(documents: DataFrame, ident: str, text: str, source: str, tokenizer: str) -> DataFrame:
     """Columns ident, source, tokens: the size of each whole text in tokens of the byte-level vocabulary file at ``tokenizer`` (null text: 0)."""
     ship(documents.sparkSession)
+    name = _shipped(documents.sparkSession, tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(name).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([0 if t is None else len(encode(t)) for t in b.column(2).to_pylist()], pa.int64())], [ident, source, "tokens"])
 
@@ -42,9 +53,12 @@ def token_sizes(documents: DataFrame, ident: str, text: str, source: str, tokeni
     return picked.mapInArrow(count, f"`{ident}` bigint, `{source}` string, tokens bigint")
 
 
-def _chance(seed: int, *parts: int) -> float:
-    """A number in [0, 1) fixed by its arguments, so that a repeated task decides alike."""
-    return xxhash.xxh3_64_intdigest(np.array(parts, np.int64).tobytes(), seed=seed & 0xFFFFFFFF) / 2.0**64
+def _chances(seed: int, ids: list[int]) -> list[float]:
+    """A number in [0, 1) for each id, fixed by it and the seed, so that a repeated task decides alike."""
+    h = np.array(ids, np.int64).astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (((h ^ h >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53).tolist()
 
 
 def pivotal(ids: list[int], weights: list[int], shares: list[float], seed: int) -> tuple[list[tuple[int, int]], tuple[int, int, float] | None]:
@@ -55,13 +69,13 @@ def pivotal(ids: list[int], weights: list[int], shares: list[float], seed: int)
     """
     decided: list[tuple[int, int]] = []
     held: tuple[int, int, float] | None = None
-    for j, v, q in zip(ids, weights, shares):
+    for j, v, q, chance in zip(ids, weights, shares, _chances(seed, ids)):
         if held is None:
             held = (j, v, q)
             continue
         i, w, p = held
         to_i, to_j = min(w * (1 - p), v * q), min(v * (1 - q), w * p)
-        if _chance(seed, i, j) * (to_i + to_j) < to_j:
+        if chance * (to_i + to_j) < to_j:
             p, q, full_i, full_j = p + to_i / w, q - to_i / v, to_i == w * (1 - p), to_i == v * q
             end_i, end_j = (1 if full_i else None), (0 if full_j else None)
         else:
@@ -79,12 +93,15 @@ def mixing_rates(sizes: DataFrame, source: str, targets: DataFrame, total_tokens
     """One row per target source: target_share, max_repeats, available tokens, wanted tokens and the copies per document that give them (rate).
 
     With ``total_tokens`` null the total is the largest at which every source that has any tokens reaches its share (of the shares of such sources).
-    With a given total a source whose cap binds contributes ``max_repeats`` times its size and falls short.
+    A source with two different targets is an error. With a given total a source whose cap binds contributes ``max_repeats`` times its size and falls short.
     """
     have = sizes.groupBy(source).agg(F.sum("tokens").alias("available"))
     t = targets.select(F.col(f"`{source}`").alias(source), F.col("target_share").cast("double").alias("target_share"), F.greatest(F.col("max_repeats"), F.lit(0)).cast("double").alias("max_repeats"))
-    t = t.where(f"`{source}` is not null and target_share > 0 and not isnan(target_share)").dropDuplicates([source])
-    rows = t.join(F.broadcast(have), source, "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    t = t.where(f"`{source}` is not null and target_share > 0 and not isnan(target_share)").distinct()
+    twice = t.groupBy(source).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two different targets for the source {twice[0][0]!r}")
+    rows = t.join(have, source, "left").withColumn("available", F.coalesce("available", F.lit(0)))
     present = F.col("available") * F.col("max_repeats") > 0
     sums = rows.agg(F.sum(F.when(present, F.col("target_share"))).alias("whole"), F.min(F.when(present, F.col("available") * F.col("max_repeats") / F.col("target_share"))).alias("most"))
     total = F.col("whole") * F.col("most") if total_tokens is None else F.lit(float(total_tokens))
@@ -106,8 +123,8 @@ def mix_sources(documents: DataFrame, ident: str, text: str, source: str, target
     """
     sizes = token_sizes(documents, ident, text, source, tokenizer)
     sizes = checkpoint(sizes.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
-    rates = F.broadcast(mixing_rates(sizes, source, targets, total_tokens).select(source, "rate", "max_repeats"))  # as many rows as targets
-    rated = checkpoint(sizes.join(rates, source, "left").select(F.col("row").alias("id"), F.col(ident).alias("doc"), F.col(source).alias("source"), "tokens", "part", F.coalesce("rate", F.lit(0.0)).alias("rate")))
+    rates = mixing_rates(sizes, source, targets, total_tokens).select(source, "rate", "max_repeats")
+    rated = checkpoint(join_dimension(sizes, rates, [source], "left").select(F.col("row").alias("id"), F.col(ident).alias("doc"), F.col(source).alias("source"), "tokens", "part", F.coalesce("rate", F.lit(0.0)).alias("rate")))
     whole = F.floor(F.col("rate") + 1e-9).cast("int")
     rest = F.col("rate") - whole
     fractional = rated.where(rest > 1e-9).select("id", "source", F.col("tokens").alias("weight"), rest.alias("share"), F.col("part").cast("bigint").alias("node"))
@@ -120,9 +137,10 @@ def mix_sources(documents: DataFrame, ident: str, text: str, source: str, target
             for b in batches:
                 groups: dict[tuple[int, str], tuple[list, list, list]] = {}
                 out: list[tuple] = []
-                for i, s, w, p, node in zip(*(b.column(k).to_pylist() for k in range(5))):
+                columns = [b.column(k).to_pylist() for k in range(5)]
+                for i, s, w, p, node, chance in zip(*columns, _chances(seed, columns[0])):
                     if w <= 0:  # no mass to keep
-                        out.append((i, s, w, p, node, int(_chance(seed, i) < p)))
+                        out.append((i, s, w, p, node, int(chance < p)))
                         continue
                     g = groups.get((node, s))
                     if g is None:
@@ -176,7 +194,7 @@ def mixing_report(mixed: DataFrame, source: str, targets: DataFrame) -> DataFram
     used = mixed.groupBy(source).agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.max("copies").alias("most_copies"))
     total = used.agg(F.sum("used_tokens").alias("total"))
     t = targets.select(F.col(f"`{source}`").alias("__source"), "target_share", "max_repeats")
-    both = used.join(F.broadcast(t), used[source] == F.col("__source"), "full").crossJoin(F.broadcast(total))
+    both = used.join(t, used[source] == F.col("__source"), "full").crossJoin(F.broadcast(total))
     return both.select(
         F.coalesce(F.col(source), F.col("__source")).alias(source), "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "used_tokens", "most_copies")),
         F.when(F.col("total") > 0, F.coalesce("used_tokens", F.lit(0)) / F.col("total")).otherwise(0.0).alias("actual_share"),
