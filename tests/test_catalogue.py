@@ -60,6 +60,11 @@ def test_products_and_powers_take_every_series(spark):
         assert set(got) == set(wanted) and all(abs(got[s] - w[i]) < 2e-6 for s, w in wanted.items())
 
 
+def test_last_step_takes_in_every_event(spark):
+    last = catalogue.event_rows(spark, SF).agg({"ts": "max"}).first()[0]
+    assert catalogue.GRID.start + (catalogue.GRID.count - 1) * catalogue.GRID.step == catalogue.GRID.end >= last > catalogue.GRID.end - catalogue.GRID.step
+
+
 def test_contract(spark):
     q, s = entry.queries(), entry.oracle_sql()
     assert set(QUERIES) <= set(q) and set(s) <= set(q) and all(callable(f) for f in q.values())

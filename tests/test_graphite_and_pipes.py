@@ -194,9 +194,7 @@ def test_pipe_errors(lines):
             lines.query(bad, 0, 180, 60)
 
 
-def test_pipe_timeshift(lines):
-    p = pipes.parse("fetch name:cpu host:h1 | timeshift 1min | scale 10")
-    from tidewheel.operators.frames import Grid
-
-    got = {r["step"] // (60 * SECOND): r["value"] for r in pipes.with_timeshift(lines, p, Grid.seconds(0, 180, 60)).collect()}
+@pytest.mark.parametrize("text", ["fetch name:cpu host:h1 | timeshift 1min | scale 10", "fetch name:cpu host:h1 | scale 10 | timeshift 1min"])
+def test_pipe_timeshift(lines, text):
+    got = {r["step"] // (60 * SECOND): r["value"] for r in lines.query(text, 0, 180, 60).collect()}
     assert got == {1: 10.0, 2: 20.0, 3: 30.0}

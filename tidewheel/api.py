@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from tidewheel.operators.frames import SECOND, Grid, Matcher, SeriesSource
+from tidewheel.operators.frames import SECOND, Matcher, SeriesSource
 from tidewheel.plans import pipes, promql_parser
 from tidewheel.plans.graphite import Renderer
 from tidewheel.plans.promql import LOOKBACK, Engine
@@ -83,11 +83,7 @@ class Api:
         return Renderer(self.source).find(glob)
 
     def pipeline(self, text: str, start: float, end: float, step: float) -> DataFrame:
-        p, grid = pipes.parse(text), Grid.seconds(start, end, step)
-        runner = pipes.Pipes(self.source, self.lookback)
-        if len(p.stages) > 1 and isinstance(p.stages[1], pipes.Stage) and p.stages[1].name == "timeshift":
-            return pipes.with_timeshift(runner, p, grid)
-        return runner.run(p, grid)
+        return pipes.Pipes(self.source, self.lookback).query(text, start, end, step)
 
 
 #: Writers by format: lines (a frame with a column ``value``) to sample rows.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewheel.session import BROADCAST_ROWS, checkpoint
+from tidewheel.session import checkpoint, small_enough
 
 #: First histogram: bins per octave.
 PER_OCTAVE = 32
@@ -38,8 +38,8 @@ def _part(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner", hint: bool = False) -> DataFrame:
-    """Join on ``columns``, nulls matching nulls; the columns come from ``a``, all others of both sides are kept. ``hint``: broadcast ``b`` if counted small."""
-    small = hint and b.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Join on ``columns``, nulls matching nulls; the columns come from ``a``, all others of both sides are kept. ``hint``: broadcast ``b`` if measured small."""
+    small = hint and small_enough(b)
     right = b.select(*(F.col(f"`{c}`").alias(f"{c}__r") if c in columns else F.col(f"`{c}`") for c in b.columns))
     on = reduce(lambda x, y: x & y, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}__r`")) for c in columns], F.lit(True))
     right = F.broadcast(right) if small else right
@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     Scale: two scans of the input with map-side counting. The first shuffles one row per (key, occupied bin) and task. The second keeps only rows in
     bins that hold a wanted rank (a few percent), which are checkpointed for the later rounds. A broadcast holds one row per (key, rank), and only if
-    counted to be at most ``BROADCAST_ROWS`` rows.
+    measured to be ``small_enough``.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     v = F.col(f"`{value}`").cast("double")
@@ -111,6 +111,7 @@ def skew_safe_summary(df: DataFrame, keys: list[str], value: str, probs: list[fl
 
     Keys with a null part are counted in the total but get no row. ``n_rows`` counts every row of the key. An empty table gives no rows.
     """
-    total = df.count()
-    got = exact_quantiles(df, keys, value, probs).where(reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys], F.lit(True)))
+    every = exact_quantiles(df, keys, value, probs)
+    total = every.agg(F.sum("n_rows")).first()[0] or 0  # from the counts by key, without another scan
+    got = every.where(reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys], F.lit(True)))
     return got.withColumn("row_share", F.col("n_rows") / F.lit(max(total, 1))).withColumn("is_hot", F.col("n_rows") >= F.lit(Decimal(str(hot_share)) * total))

@@ -360,7 +360,7 @@ target("g_fetch_glob", "events.{click,view}.u1?", f"WITH {P} {named('x', 'name',
 for _f, _s in (("sum", "sum(x)"), ("average", "avg(x)"), ("min", "min(x)"), ("max", "max(x)"), ("median", "median(x)"), ("stddev", "stddev_pop(x)"), ("rangeOf", "max(x) - min(x)")):
     target(f"g_{_f}", f"{_f}Series(events.*.*)", f"WITH {P} {named(_s, f"'{_f}Series'", 'p', 'GROUP BY step')}")
 target("g_count", "countSeries(events.*.*)", f"WITH {P} {named('(SELECT CAST(count(DISTINCT name) AS DOUBLE) FROM p)', "'countSeries'", 'g')}")
-target("g_multiply", "multiplySeries(scale(events.click.u1?,0.1))", f"WITH {P} {named('product(x * 0.1)', "'multiplySeries'", 'p', "WHERE event_type = 'click' AND length(user_id) = 2 AND starts_with(user_id, '1') GROUP BY step")}")
+target("g_multiply", "multiplySeries(offset(scale(events.click.*,0.000001),1))", f"WITH {P} {named('product(x * 0.000001 + 1)', "'multiplySeries'", 'p', "WHERE event_type = 'click' GROUP BY step")}")
 #: all series moved near 1, so that products over them stay finite
 _NEAR_1 = "offset(scale(events.*.*,0.000001),1)"
 target("g_multiply_all", f"multiplySeries({_NEAR_1})", f"WITH {P} {named('product(x * 0.000001 + 1)', "'multiplySeries'", 'p', 'GROUP BY step')}")
@@ -414,9 +414,14 @@ target("g_sustained_above", "aliasByNode(sustainedAbove(groupByNode(events.*.*,
     q AS (SELECT event_type, step, x, step - row_number() OVER (PARTITION BY event_type ORDER BY step) * {DAY}000000 AS isle FROM m WHERE x >= 150), n AS (SELECT *, count(*) OVER (PARTITION BY event_type, isle) AS c FROM q)
     {named('x', 'event_type', 'n', 'WHERE c >= 2')}""")
 target("g_pow", f"alias(scale(offset(powSeries({_NEAR_1}),-1),1000),'pow')", f"WITH {P}, y AS (SELECT name, step, x * 0.000001 + 1 AS y FROM p), k AS (SELECT step, arg_min(y, name) AS first, product(y) AS whole FROM y GROUP BY step) {named('(pow(first, whole / first) - 1) * 1000', "'pow'", 'k')}")
-target("g_interpolate", "aliasByNode(interpolate(events.*.*), 1, 2)", None)
+_AFTER = "first_value(x IGNORE NULLS) OVER (PARTITION BY name ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+_THEN = _AFTER.replace("first_value(x ", "first_value(CASE WHEN x IS NOT NULL THEN step END ")
+target("g_interpolate", "aliasByNode(interpolate(events.*.*), 1, 2)", f"""WITH {D}, i AS (SELECT *, {_BEFORE} AS bx, {_AT} AS bt, {_AFTER} AS ax, {_THEN} AS nt FROM d)
+    {named('coalesce(x, bx + (ax - bx) * (step - bt) / (nt - bt))', _ALIAS, 'i')}""")
 target("g_moving_median", "aliasByNode(movingMedian(events.*.*, 5), 1, 2)", f"WITH {D} SELECT * FROM (SELECT {_ALIAS} AS name, step, round(median(x) OVER (PARTITION BY name ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) + 1e-10, 6) + 0.0 AS value FROM d) WHERE value IS NOT NULL")
-target("g_ema", "aliasByNode(exponentialMovingAverage(events.*.*, 5), 1, 2)", None)
+target("g_ema", "aliasByNode(exponentialMovingAverage(events.*.*, 5), 1, 2)", f"""WITH RECURSIVE {D}, m AS (SELECT event_type, user_id, name, step, x FROM d WHERE step = {START}000000
+      UNION ALL SELECT d.event_type, d.user_id, d.name, d.step, coalesce(2.0 / 6 * d.x + (1 - 2.0 / 6) * m.x, d.x, m.x) FROM m JOIN d ON d.name = m.name AND d.step = m.step + {DAY}000000)
+    {named('x', _ALIAS, 'm')}""")
 QUERIES["g_find"] = lambda spark, sf: Renderer(paths(spark, sf)).find("events.*")
 SQL["g_find"] = "SELECT DISTINCT 'events.' || event_type AS path, event_type AS text, FALSE AS leaf FROM events"
 
@@ -436,6 +441,50 @@ pipe("pipe_macro", "clicks = fetch name:events event_type:click; clicks | setDif
 pipe("pipe_percent", "fetch name:events event_type:click | asPercent", f"WITH {V}, s AS (SELECT step, sum(x) AS y FROM v WHERE event_type = 'click' GROUP BY step) {out('x / y * 100', BARE, 'v JOIN s USING (step)', "WHERE event_type = 'click'")}")
 pipe("pipe_exclude", "fetch name:events | excludeByTag event_type c* | max event_type", f"WITH {V} {out('max(x)', TYPE, 'v', "WHERE NOT starts_with(event_type, 'c') GROUP BY event_type, step")}")
 pipe("pipe_transform_null", "fetch name:events event_type:click | sum event_type | transformNull 0 | integral", f"WITH {V}, s AS (SELECT event_type, step, sum(x) AS x FROM v WHERE event_type = 'click' GROUP BY ALL) {out('sum(coalesce(x, 0)) OVER (ORDER BY g.step)', "'{event_type=\"click\"}'", '(SELECT g.step, s.x FROM g LEFT JOIN s USING (step)) g')}")
+#: all days of every series, null where absent
+_DENSE = f"{V}, q AS (SELECT DISTINCT event_type, user_id FROM v), d AS (SELECT q.event_type, q.user_id, q.event_type || '/' || q.user_id AS name, g.step, v.x FROM q CROSS JOIN g LEFT JOIN v ON v.event_type = q.event_type AND v.user_id = q.user_id AND v.step = g.step)"
+_CLICK = "WHERE event_type = 'click'"
+for _n, _t, _s in (("abs", "offset -60 | abs", "abs(x - 60)"), ("sqrt", "sqrt", "sqrt(x)"), ("remove_above_value", "removeAboveValue 50", "CASE WHEN x <= 50 THEN x END"), ("remove_below_value", "removeBelowValue 50", "CASE WHEN x >= 50 THEN x END"),
+                   ("scale_to_seconds", "scaleToSeconds 60", f"x * 60.0 / {DAY}"), ("timestamp", "timestamp", "step / 1e6"), ("logarithm", "offset 1 | logarithm", "log10(x + 1)")):
+    pipe(f"pipe_{_n}", f"fetch name:events | {_t}", f"WITH {V} SELECT * FROM ({out(_s, FULL, 'v')}) WHERE value IS NOT NULL")
+for _n, _op in (("ge", ">="), ("le", "<="), ("lt", "<"), ("eq", "=="), ("ne", "!=")):
+    pipe(f"pipe_{_n}", f"fetch name:events | {_n} 50", f"WITH {V} {out('x', FULL, 'v', f'WHERE x {({"==": "=", "!=": "<>"}).get(_op, _op)} 50')}")
+for _n, _s in (("avg", "avg(x)"), ("min", "min(x)"), ("count", "CAST(count(x) AS DOUBLE)"), ("range", "max(x) - min(x)")):
+    pipe(f"pipe_{_n}", f"fetch name:events | {_n} event_type", f"WITH {V} {out(_s, TYPE, 'v', 'GROUP BY event_type, step')}")
+pipe("pipe_multiply", "fetch name:events | scale 0.000001 | offset 1 | multiply event_type", f"WITH {V} {out('product(x * 0.000001 + 1)', TYPE, 'v', 'GROUP BY event_type, step')}")
+pipe("pipe_diff", "fetch name:events | diff event_type", f"WITH {V}, f AS (SELECT event_type, min(user_id) AS first FROM v GROUP BY event_type) {out('sum(CASE WHEN user_id = first THEN x ELSE -x END)', TYPE, 'v JOIN f USING (event_type)', 'GROUP BY event_type, step')}")
+pipe("pipe_alias", "fetch name:events event_type:click | sum user_id | alias clicks", f"WITH {V} {out('sum(x)', "'clicks{user_id=\"' || user_id || '\"}'", 'v', f'{_CLICK} GROUP BY user_id, step')}")
+pipe("pipe_alias_by_tags", "fetch name:events | aliasByTags event_type user_id", f"WITH {V} {out('x', "event_type || ' ' || user_id || " + BARE, 'v')}")
+pipe("pipe_show_tags", "fetch name:events | sum event_type | showTags true event_type", f"""WITH {V} {out('sum(x)', """'{"event_type":"' || event_type || '"}' || """ + TYPE, 'v', 'GROUP BY event_type, step')}""")
+pipe("pipe_execute", "fetch name:events event_type:click | execute (fetch name:events event_type:view)", f"WITH {V} {out('x', FULL, 'v', "WHERE event_type = 'view'")}")
+pipe("pipe_fallback", "fetch name:events event_type:nosuch | fallbackSeries 7", f"WITH {G} {out('7.0', "'{}'", 'g')}")
+pipe("pipe_constant_line", "constantLine 42", f"WITH {G} {out('42.0', "'{}'", 'g')}")
+pipe("pipe_identity", "identity clock", f"WITH {G} {out('step / 1e6', "'{}'", 'g')}")
+for _n, _o in (("head", "ASC"), ("tail", "DESC")):
+    pipe(f"pipe_{_n}", f"fetch name:events | {_n} 5", f"WITH {V}, k AS (SELECT DISTINCT event_type, user_id FROM v ORDER BY event_type {_o}, user_id {_o} LIMIT 5) {out('x', FULL, 'v JOIN k USING (event_type, user_id)')}")
+pipe("pipe_sort", "fetch name:events | sort max asc", f"WITH {V} {out('x', FULL, 'v')}")
+pipe("pipe_intersect", "fetch name:events event_type:click | intersect (fetch name:events event_type:view) user_id", f"WITH {V} {out('x', FULL, 'v', "WHERE event_type = 'click' AND EXISTS (SELECT 1 FROM v w WHERE w.event_type = 'view' AND w.user_id = v.user_id AND w.step = v.step)")}")
+pipe("pipe_divide", "fetch name:events event_type:click | divideSeries (fetch name:events event_type:view) user_id", f"WITH {V}, w AS (SELECT user_id, step, x AS y FROM v WHERE event_type = 'view') {out('x / y', BARE, 'v JOIN w USING (user_id, step)', _CLICK)}")
+pipe("pipe_percentile_of_series", "fetch name:events | percentileOfSeries 90 false event_type", f"WITH {V}, k AS (SELECT event_type, step, list_sort(list(x)) AS l FROM v GROUP BY ALL) {out('l[least(greatest(CAST(ceil(0.9 * (len(l) + 1)) AS INT), 1), len(l))]', TYPE, 'k')}")
+pipe("pipe_timeshift", "fetch name:events | timeshift 2d", SQL["offset"])
+for _n, _t, _s in (
+    ("changed", "changed", f"CASE WHEN x <> {_BEFORE} THEN 1.0 ELSE 0.0 END"), ("derivative", "derivative", "x - lag(x) OVER o"), ("integral", "integral", "CASE WHEN x IS NOT NULL THEN sum(x) OVER o END"), ("is_non_null", "isNonNull", "CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END"),
+    ("non_negative_derivative", "nonNegativeDerivative", "CASE WHEN x >= lag(x) OVER o THEN x - lag(x) OVER o END"), ("keep_last_value", "keepLastValue 2", f"coalesce(x, CASE WHEN step - {_AT} <= {2 * DAY}000000 THEN {_BEFORE} END)"),
+    ("per_second", "perSecond | scale 1000", f"CASE WHEN x >= {_BEFORE} THEN (x - {_BEFORE}) / ((step - {_AT}) / 1e6) * 1000 END"), ("stdev", "stdev 5 0.5", "CASE WHEN count(x) OVER f / 5.0 >= 0.5 THEN stddev_pop(x) OVER f END"),
+    ("moving", "moving 5 avg", "avg(x) OVER m"), ("sustain", "sustain 3d", "CASE WHEN count(x) OVER t = 3 THEN min(x) OVER t END"),
+):
+    pipe(f"pipe_{_n}", f"fetch name:events | {_t}", f"""WITH {_DENSE} SELECT * FROM (SELECT {FULL} AS series, step, round(CAST({_s} AS DOUBLE) + 1e-10, 6) + 0.0 AS value FROM d {_O}, f AS (PARTITION BY name ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+        m AS (PARTITION BY name ORDER BY step ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY name ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) WHERE value IS NOT NULL""")
+_RANKED = f"{V}, k AS (SELECT event_type, user_id, list_sort(list(x)) AS l FROM v GROUP BY ALL)"
+_P80 = "l[least(greatest(CAST(ceil(0.8 * (len(l) + 1)) AS INT), 1), len(l))]"
+pipe("pipe_n_percentile", "fetch name:events | nPercentile 80", f"WITH {_RANKED} {out(_P80, FULL, 'k CROSS JOIN g')}")
+for _n, _t, _op in (("above", "Above", "<="), ("below", "Below", ">=")):
+    pipe(f"pipe_remove_{_n}_percentile", f"fetch name:events | remove{_t}Percentile 80", f"WITH {_RANKED} {out('x', FULL, 'v JOIN k USING (event_type, user_id)', f'WHERE x {_op} {_P80}')}")
+    pipe(f"pipe_sustained_{_n}", f"fetch name:events | max event_type | sustained{_t} 150 2d", f"""WITH {V}, m AS (SELECT event_type, step, max(x) AS x FROM v GROUP BY ALL),
+        q AS (SELECT event_type, step, x, step - row_number() OVER (PARTITION BY event_type ORDER BY step) * {DAY}000000 AS isle FROM m WHERE x {'>=' if _n == 'above' else '<='} 150), n AS (SELECT *, count(*) OVER (PARTITION BY event_type, isle) AS c FROM q)
+        {out('x', TYPE, 'n', 'WHERE c >= 2')}""")
+pipe("pipe_remove_empty", "fetch name:events | removeEmpty 0.4", f"WITH {V}, k AS (SELECT event_type, user_id FROM v GROUP BY ALL HAVING count(x) / {DAYS}.0 >= 0.4) {out('x', FULL, 'v JOIN k USING (event_type, user_id)')}")
+pipe("pipe_summarize", "fetch name:events | summarize 1w avg", f"WITH {V} SELECT {FULL} AS series, step // {7 * DAY}000000 * {7 * DAY}000000 AS step, round(avg(x) + 1e-10, 6) + 0.0 AS value FROM v GROUP BY 1, 2")
 
 
 # the aggregator

@@ -137,7 +137,7 @@ FUNCTIONS: dict[str, Callable] = {
     "isNonNull": lambda x: g.is_non_null(x),
     "derivative": lambda x: g.derivative(x),
     "nonNegativeDerivative": lambda x, maxValue=None: g.non_negative_derivative(x, maxValue),
-    "perSecond": lambda x, maxValue=None: g.per_second(x),
+    "perSecond": lambda x: g.per_second(x),
     "integral": lambda x: g.integral(x),
     "changed": lambda x: g.changed(x),
     "stdev": lambda x, points, windowTolerance=0.1: g.stdev(x, points, windowTolerance),
@@ -147,7 +147,7 @@ FUNCTIONS: dict[str, Callable] = {
     "movingWindow": lambda x, window, f="average", x_files=0.0: g.moving(x, window, f, x_files),
     "exponentialMovingAverage": lambda x, window: g.exponential_moving_average(x, window),
     "summarize": lambda x, interval, f="sum", alignToFrom=False: g.summarize(x, interval, f, alignToFrom),
-    "smartSummarize": lambda x, interval, f="sum", alignTo=None: g.summarize(x, interval, f, smart=True),
+    "smartSummarize": lambda x, interval, f="sum": g.summarize(x, interval, f, smart=True),
     "hitcount": lambda x, interval: g.hitcount(x, interval),
     "delay": lambda x, steps: g.delay(x, steps),
     "nPercentile": lambda x, n: g.n_percentile(x, n),

@@ -140,6 +140,13 @@ class Pipes:
         return self.run(parse(text), Grid.seconds(start, end, step))
 
     def run(self, p: Pipeline, grid: Grid, x: DataFrame | None = None) -> DataFrame:
+        """``timeshift`` evaluates what stands before it over the grid moved back and brings the result forward."""
+        shifts = [i for i, s in enumerate(p.stages) if isinstance(s, Stage) and s.name == "timeshift"]
+        if shifts and x is None:
+            last = shifts[-1]
+            by = abs(parse_interval(p.stages[last].args[0]))
+            x = self.run(Pipeline(p.stages[:last]), grid.shifted(-by)).withColumn("step", F.col("step") + by)
+            p = Pipeline(p.stages[last + 1 :])
         for s in p.stages:
             x = self.run(s, grid, x) if isinstance(s, Pipeline) else self.stage(s, grid, x)
         return x
@@ -283,7 +290,7 @@ def _bucket_cdf(p, grid, x, id_tag, range_tag, value):
 
 
 def _shift(p, grid, x, by):
-    raise PipeError("timeshift follows fetch directly")
+    raise PipeError("timeshift stands in the pipeline that fetches")
 
 
 def _show_tags(p, grid, x, show=True, *tags):
@@ -324,13 +331,5 @@ STAGES: dict[str, Callable] = {
 }
 
 
-def with_timeshift(pipes: Pipes, p: Pipeline, grid: Grid) -> DataFrame:
-    """A pipeline whose second stage is ``timeshift``: fetched over the shifted grid and brought back."""
-    by = parse_interval(p.stages[1].args[0])
-    by = -abs(by)
-    fetched = pipes.stage(p.stages[0], grid.shifted(by), None).withColumn("step", F.col("step") - by)
-    return pipes.run(Pipeline(p.stages[2:]), grid, fetched) if len(p.stages) > 2 else fetched
-
-
 def rendered(x: DataFrame) -> DataFrame:
     return x.select(series_text(F.col("labels")).alias("series"), "step", "value")

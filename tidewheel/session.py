@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension table is broadcast; beyond it the join is left to Catalyst (shuffle plus AQE skew handling).
+#: Rows and bytes (of the rows as text) up to which a dimension table is broadcast; beyond them the join is left to Catalyst (shuffle plus AQE skew handling).
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(master: str = "local[*]", app: str = "tidewheel", **conf: str) -> SparkSession:
@@ -75,10 +76,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension table, broadcast only when a count shows that it has at most ``max_rows`` rows."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, keys, how)
+def small_enough(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table, once counted and measured, may be broadcast. At most ``max_rows`` + 1 rows are looked at."""
+    size = dim.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return size["n"] <= max_rows and (size["b"] or 0) <= max_bytes
+
+
+def join_dimension(fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a dimension table, broadcast only when it is ``small_enough``."""
+    return fact.join(F.broadcast(dim) if small_enough(dim) else dim, keys, how)
 
 
 def epoch_micros(df: DataFrame, name: str) -> Column:

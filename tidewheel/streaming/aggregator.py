@@ -40,14 +40,19 @@ def without_repeats(stream: DataFrame, *, past: int = 600 * SECOND) -> DataFrame
     return _timed(stream, past).dropDuplicatesWithinWatermark(["id", "source", "version", "ts"]).drop("event_time")
 
 
-def increases(points: DataFrame, per_second: bool = False) -> DataFrame:
+def increases(points: DataFrame, per_second: bool = False, *, idle: int | None = None) -> DataFrame:
     """Increase or PerSecond between a metric's consecutive windows, also for windows that come late or are corrected.
 
-    The state of a metric is its recent windows (within an hour of the latest); a corrected window gives out its own change and that of the next one.
+    The state of a metric is its recent windows (within an hour of the latest); a corrected window gives out its own change and that of the next one. With
+    ``idle`` (microseconds) a metric without any window for that long of processing time is forgotten, so that dead metrics leave no state behind; for
+    queries that run continuously, as a query that stops once it has caught up would wait for the timeouts.
     """
     ship(points.sparkSession)
 
     def step(key: tuple, batches, state: GroupState):
+        if idle is not None and state.hasTimedOut:
+            state.remove()
+            return
         known: dict[int, float] = dict(zip(*state.get)) if state.exists else {}
         touched = set()
         for pdf in batches:
@@ -67,11 +72,13 @@ def increases(points: DataFrame, per_second: bool = False) -> DataFrame:
             out.append((key[0], key[1], ts, rise * SECOND / (ts - before) if per_second else rise))
         recent = [t for t in order if t >= order[-1] - 3600 * SECOND] if order else []
         state.update((recent, [known[t] for t in recent]))
+        if idle is not None:
+            state.setTimeoutDuration(idle // 1000)
         yield pd.DataFrame(out, columns=["id", "label_key", "ts", "value"])
 
     keyed = points.withColumn("label_key", label_key(F.col("labels"))).select("id", "label_key", "ts", "value")
     return keyed.groupBy("id", "label_key").applyInPandasWithState(
-        step, "id string, label_key string, ts bigint, value double", "ts array<bigint>, value array<double>", "append", GroupStateTimeout.NoTimeout
+        step, "id string, label_key string, ts bigint, value double", "ts array<bigint>, value array<double>", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
